@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stylograph.llm import dedup, mixing, spans
+from stylograph.llm.neardup import NearDuplicates
 from stylograph.llm.tokens import Tokenizer
 from stylograph.sources.tables import table
 
@@ -28,6 +29,14 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return dedup.collapsed(_all_keys(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return NearDuplicates(table(spark, d, "archive_posts")).pairs()
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return NearDuplicates(table(spark, d, "archive_posts")).groups().withColumnRenamed("id", "pos")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", Tokenizer(spark).ids("text").alias("ids"))
 
@@ -62,5 +71,5 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p3_found, p3_collapsed, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared)
+    every = (p3_found, p3_collapsed, p5_found, p5_groups, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared)
     return {f.__name__: f for f in every}
