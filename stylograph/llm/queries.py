@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import dedup, mixing, spans
+from stylograph.llm import dedup, mixing, quality, spans
 from stylograph.llm.neardup import NearDuplicates
 from stylograph.llm.tokens import Tokenizer
 from stylograph.sources.tables import table
@@ -29,6 +29,24 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return dedup.collapsed(_all_keys(spark, d))
 
 
+def _common(spark: SparkSession, d: str) -> list[str]:
+    """The fixed table of common words (about a hundred rows)."""
+    return [r.word for r in table(spark, d, "common_words").select("word").limit(10_000).collect() if r.word]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = quality.kinds(table(spark, d, "archive_posts"), _common(spark, d))
+    return found.where("kind <> 'prose'").select("pos", "kind")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return quality.kinds(table(spark, d, "archive_posts"), _common(spark, d))
+
+
+def p4_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "archive_posts"), _common(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(table(spark, d, "archive_posts")).pairs()
 
@@ -71,5 +89,5 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p3_found, p3_collapsed, p5_found, p5_groups, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared)
+    every = (p3_found, p3_collapsed, p4_found, p4_kinds, p4_stats, p5_found, p5_groups, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared)
     return {f.__name__: f for f in every}
