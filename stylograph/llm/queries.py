@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import dedup, mixing, quality, spans
+from stylograph.llm import abuse, dedup, mixing, quality, spans
 from stylograph.llm.neardup import NearDuplicates
 from stylograph.llm.tokens import Tokenizer
 from stylograph.sources.tables import table
@@ -15,6 +15,23 @@ from stylograph.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "archive_posts"), table(spark, d, "safety_scores"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    scored = table(spark, d, "archive_posts").select("pos", abuse.score_column("text").alias("s"))
+    return scored.where(scored["s.score"] >= abuse.THRESHOLD).select("pos")
+
+
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scores(spark, d))
+
+
 def _all_keys(spark: SparkSession, d: str) -> DataFrame:
     posts = dedup.text_keys(table(spark, d, "archive_posts"), "archive_posts", "pos")
     exemplars = dedup.text_keys(table(spark, d, "exemplars"), "exemplars", "exemplar_id")
@@ -89,5 +106,5 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p3_found, p3_collapsed, p4_found, p4_kinds, p4_stats, p5_found, p5_groups, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared)
+    every = (p1_found, p1_scores, p1_rates, p3_found, p3_collapsed, p4_found, p4_kinds, p4_stats, p5_found, p5_groups, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared)
     return {f.__name__: f for f in every}
