@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm import abuse, dedup, mixing, quality, spans
+from stylograph.llm import abuse, dedup, mixing, pii, quality, spans
 from stylograph.llm.neardup import NearDuplicates
 from stylograph.llm.tokens import Tokenizer
 from stylograph.sources.tables import table
@@ -32,6 +32,19 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scores(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    recognizer = pii.Recognizer(spark, table(spark, d, "known_names"))
+    posts = pii.found(table(spark, d, "archive_posts"), recognizer, "archive_posts", "pos")
+    return posts.unionByName(pii.found(table(spark, d, "exemplars"), recognizer, "exemplars", "exemplar_id"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of both tables with its text redacted."""
+    recognizer = pii.Recognizer(spark, table(spark, d, "known_names"))
+    parts = [table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(k).alias("rec_id"), recognizer.redacted("text").alias("text")) for t, k in (("archive_posts", "pos"), ("exemplars", "exemplar_id"))]
+    return parts[0].unionByName(parts[1])
+
+
 def _all_keys(spark: SparkSession, d: str) -> DataFrame:
     posts = dedup.text_keys(table(spark, d, "archive_posts"), "archive_posts", "pos")
     exemplars = dedup.text_keys(table(spark, d, "exemplars"), "exemplars", "exemplar_id")
@@ -106,5 +119,5 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p1_found, p1_scores, p1_rates, p3_found, p3_collapsed, p4_found, p4_kinds, p4_stats, p5_found, p5_groups, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared)
+    every = (p1_found, p1_scores, p1_rates, p2_found, p2_redacted, p3_found, p3_collapsed, p4_found, p4_kinds, p4_stats, p5_found, p5_groups, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shared)
     return {f.__name__: f for f in every}
