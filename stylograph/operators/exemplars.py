@@ -14,7 +14,8 @@ MIN_WORDS, MAX_WORDS, TOP_N = 6, 60, 400
 
 def candidates(df: DataFrame, banned: Iterable[str] | None = None, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS, id_col: str = "pos", text_col: str = "text") -> DataFrame:
     """(id_col, text, words): cleaned texts that pass every filter but that on repeats."""
-    rows = df.select(F.col(id_col), T.clean(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).withColumn("words", T.n_words(F.col("text")))
+    rows = df.select(F.col(id_col), F.explode(F.array(T.clean(F.coalesce(F.col(text_col), F.lit(""))))).alias("text"))  # an explode: cleaned once, not for each filter
+    rows = rows.withColumn("words", T.n_words(F.col("text")))
     t = F.col("text")
     keep = F.col("words").between(min_words, max_words) & ~T.contains_term(t, banned) & ~t.startswith("RT @") & ~t.startswith(">") & ~T.symbols_only(t)
     return rows.where(keep)

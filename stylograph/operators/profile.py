@@ -41,7 +41,7 @@ class StyleProfile:
 
 def cleaned(df: DataFrame, min_words: int = 3, id_col: str = "pos", text_col: str = "text", group: Sequence[str] = ()) -> DataFrame:
     """(group, pos, text): cleaned texts of `min_words` or more words; null texts count as empty."""
-    rows = df.select(*group, F.col(id_col).alias("pos"), T.clean(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    rows = df.select(*group, F.col(id_col).alias("pos"), F.explode(F.array(T.clean(F.coalesce(F.col(text_col), F.lit(""))))).alias("text"))  # cleaned once, not for each later use
     return rows.where(T.n_words(F.col("text")) >= min_words)
 
 

@@ -14,7 +14,7 @@ from stylograph.functions import text as T
 from stylograph.operators import exemplars, model, profile, prompts, safety
 from stylograph.plans.render import render_style_guide
 from stylograph.sources import archive
-from stylograph.sources.tables import table
+from stylograph.sources.tables import table, wide_table
 from stylograph.streaming import gate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ SEEDS = ["The kettle is on again.", "Shipped a small fix before lunch."]
 
 
 def _posts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "archive_posts")
+    return wide_table(spark, d, "archive_posts")
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def curate_top_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curate_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = exemplars.curate(table(spark, d, "documents"), BANNED, ON_BRAND, id_col="doc_id")
+    rows = exemplars.curate(wide_table(spark, d, "documents"), BANNED, ON_BRAND, id_col="doc_id")
     return rows.withColumn("score", F.col("score").cast("bigint"))
 
 
@@ -136,7 +136,7 @@ def style_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def style_profile_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
+    rows = wide_table(spark, d, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
     return profile.style_scalars(rows, id_col="doc_id", group=["lang"])
 
 
