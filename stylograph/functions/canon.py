@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def letters_and_digits(text: Column) -> Column:
-    """Letters and digits of `text` in order, case folded (upper then lower, so that sharp s equals ss)."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{Nd}]+", "")
+    """Letters and digits of `text` in order, case folded (sharp s equals ss, and both forms of sigma are one)."""
+    low = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return F.regexp_replace(low, r"[^\p{L}\p{Nd}]+", "")
 
 
 def word_runs(text: Column) -> Column:
