@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def canon(text: str) -> str:
-    return rf"regexp_replace(lower(upper({text})), '[^\p{{L}}\p{{Nd}}]+', '', 'g')"
+    return rf"regexp_replace(replace(replace(lower({text}), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{Nd}}]+', '', 'g')"
 
 
 def _member(name: str) -> str:

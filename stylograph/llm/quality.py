@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stylograph.plans.scale import stage
+
 #: Latent types; a remark is prose too short for the measures of sentences, and is reported as prose.
 KINDS = ("prose", "remark", "list", "table", "junk")
 #: Frequent function words of other languages than the table of common words holds. Fixed values.
@@ -57,7 +59,7 @@ def statistics(df: DataFrame, common: list[str], id_col: str = "pos", text_col:
     rows = rows.select(id_col, "_t", F.filter(F.split("_t", _LINE), lambda x: F.regexp_replace(x, _TRIM, "") != "").alias("_lines"), F.regexp_extract_all(F.lower("_t"), F.lit(_WORD), F.lit(0)).alias("_words"))
     words, lines = F.col("_words"), F.col("_lines")
     letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    known = F.array(*map(F.lit, sorted(set(common)))) if common else F.array().cast("array<string>")
+    known = sorted(set(common))
     visible = F.length(F.regexp_replace(t, _WS, ""))
     return rows.select(
         id_col,
@@ -69,7 +71,7 @@ def statistics(df: DataFrame, common: list[str], id_col: str = "pos", text_col:
         _share(F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s\x{85}\p{Z}\x{200b}\x{feff}]+", "")), visible).alias("symbol_ratio"),
         _share(F.length(F.regexp_replace(t, r"[^\p{N}]+", "")), visible).alias("digit_ratio"),
         _share(F.size(F.filter(lines, lambda x: x.rlike(_END))), F.size(lines)).alias("ended_line_share"),
-        _share(F.size(F.filter(words, lambda w: F.array_contains(known, w))), F.size(words)).alias("common_word_share"),
+        _share(F.size(F.filter(words, lambda w: w.isin(known))), F.size(words)).alias("common_word_share"),
     )
 
 
@@ -85,7 +87,7 @@ def _functions(common: list[str]) -> list[tuple[str, str, Column]]:
     rows = (c("lines") >= 2) & ((c("cell_lines") >= 0.3) | (c("pair_lines") >= 0.3) | (c("delimited_lines") >= 0.3))
     return [
         ("sentences", "prose", (c("sentence_share") >= 0.5) & ~items),
-        ("function_words", "prose", (c("function_share") >= 0.2) & (c("repeat_share") < 0.5) & ~items & ~(multi & (c("bullet_lines") >= 0.6))),
+        ("function_words", "prose", (c("function_share") >= 0.2) & (c("words") * 2 >= c("tokens")) & (c("repeat_share") < 0.5) & ~items & ~(multi & (c("bullet_lines") >= 0.6))),
         ("short_remark", "remark", (c("tokens") <= 7) & (c("lines") <= 2) & (c("longest") <= 24) & (c("markup_share") < 0.2) & (c("code_share") < 0.5) & (c("tag_share") < 0.75) & ~rows),
         ("bullets", "list", multi & (c("bullet_lines") >= 0.6)),
         ("short_lines", "list", (c("lines") >= 4) & (c("words") <= 5 * c("lines")) & no_prose & ~rows & (c("value_lines") < 0.5)),
@@ -107,15 +109,15 @@ def _functions(common: list[str]) -> list[tuple[str, str, Column]]:
 
 def _measures(rows: DataFrame, common: list[str]) -> DataFrame:
     """Measures for the labelling functions of `_t`, beside all columns of `rows`."""
-    known = F.array(*map(F.lit, sorted(set(common) | set(OTHER_COMMON))))
+    known = sorted(set(common) | set(OTHER_COMMON))
 
     def is_common(w: Column) -> Column:
-        return F.array_contains(known, w)
+        return w.isin(known)
 
     rows = rows.withColumn("_raw", F.filter(F.split("_t", _WS), lambda x: x != ""))
     body = F.regexp_replace(F.regexp_replace("_t", _LINK, " "), r"(^|[\s(])[@#][\p{L}\p{N}_]+[:,]?", "$1")
     rows = rows.withColumn("_body", F.regexp_replace(body, r"^(?:RT\s*:?)?\s+", ""))
-    rows = rows.withColumns({"_lines": F.filter(F.split("_body", _LINE), lambda x: F.regexp_replace(x, _TRIM, "") != ""), "_tokens": F.filter(F.split("_body", _WS), lambda x: x != ""), "_words": F.regexp_extract_all(F.lower("_body"), F.lit(_WORD), F.lit(0))})
+    rows = rows.withColumns({"_lines": F.filter(F.split("_body", _LINE), lambda x: F.regexp_replace(x, _TRIM, "") != ""), "_tokens": F.filter(F.split("_body", _WS), lambda x: x != ""), "_low": F.filter(F.split(F.lower("_body"), _WS), lambda x: x != ""), "_words": F.regexp_extract_all(F.lower("_body"), F.lit(_WORD), F.lit(0))})
     lines, words, tokens = F.col("_lines"), F.col("_words"), F.col("_tokens")
     n_lines = F.size(lines)
 
@@ -123,11 +125,12 @@ def _measures(rows: DataFrame, common: list[str]) -> DataFrame:
         return _share(F.size(F.filter(lines, lambda x: x.rlike(pattern))), n_lines)
 
     clauses = F.transform(F.split("_body", r"[.!?…。]+(?=\s|\"|”|»|\z)|" + _LINE), lambda s: F.regexp_extract_all(F.lower(s), F.lit(_WORD), F.lit(0)))
-    sentences = F.filter(clauses, lambda s: (F.size(s) >= 4) & (F.size(F.filter(s, is_common)) * 6 >= F.size(s)) & (F.size(F.filter(s, is_common)) >= 1))
+    sentences = F.filter(clauses, lambda s: (F.size(s) >= 4) & (F.size(F.filter(s, is_common)) * 6 >= F.size(s)))
     long_words = F.filter(words, lambda w: F.length(w) >= 3)
     inline = F.regexp_replace("_body", _TRIM, "")
     bare = F.length(F.regexp_replace("_t", _WS, ""))
-    trigrams = F.when(F.size(tokens) >= 4, F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.slice(F.transform(tokens, lambda x: F.lower(x)), i, 2))))))
+    n = F.size("_low")
+    pairs = F.zip_with(F.slice("_low", 1, F.greatest(n - 1, F.lit(0))), F.slice("_low", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return rows.withColumns(
         {
             "lines": n_lines,
@@ -143,7 +146,7 @@ def _measures(rows: DataFrame, common: list[str]) -> DataFrame:
             "cell_lines": line_share(_CELLS + r"|^\s*[+|][-+=|]{4,}"),
             "pair_lines": line_share(_PAIR),
             "value_lines": line_share(_VALUE),
-            "inline_items": F.greatest(_count(inline, r"\S\s+[/|·•]\s+\S"), _count(inline, r"\S\s?;\s+\S"), _count(inline, r"\S\s?,\s+\S"), _count(inline, r"\S\s+[-–→*]\s+\S")) + 1,
+            "inline_items": F.greatest(*(F.floor((F.length(inline) - F.length(F.replace(inline, F.lit(x), F.lit("")))) / len(x)) for x in (" / ", " | ", "; ", ", ", " · ", " • ", " - ", " – ", " → ", " * "))) + 1,
             "tag_share": _share(F.size(F.filter("_raw", lambda x: x.rlike(r"^(?:[@#][\p{L}\p{N}_]+[,:;.]?|https?://\S+|www\.\S+)\z"))), F.size("_raw")),
             "long_words": F.size(long_words),
             "voweled_share": _share(F.size(F.filter(long_words, lambda w: w.rlike(_VOWEL) & ~w.rlike(r"[bcdfghjklmnpqrstvwxz]{5,}"))), F.size(long_words)),
@@ -151,10 +154,10 @@ def _measures(rows: DataFrame, common: list[str]) -> DataFrame:
             "markup_share": _share(F.length("_t") - F.length(F.regexp_replace("_t", _MARKUP, "")), bare),
             "quote_share": _share(_count(F.col("_t"), r"[{}\[\]\"]"), bare),
             "sign_share": _share(_count(F.col("_t"), r"[!-/:-@\[-`{-~]"), bare),
-            "repeat_share": F.coalesce(1.0 - _share(trigrams, F.size(tokens) - 1), F.lit(0.0)),
+            "repeat_share": F.when(n >= 4, 1.0 - _share(F.size(F.array_distinct(pairs)), n - 1)).otherwise(F.lit(0.0)),
             "broken_share": _share(_count(F.col("_t"), r"Ã.|â€|\x{fffd}"), bare),
         }
-    ).drop("_raw", "_body", "_lines", "_words", "_tokens")
+    ).drop("_raw", "_body", "_lines", "_words", "_tokens", "_low")
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, kind_of: list[int], rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,17 +167,19 @@ def fit(patterns: np.ndarray, counts: np.ndarray, kind_of: list[int], rounds: in
     fired = (patterns[:, None] >> np.arange(m)[None, :] & 1).astype(float)
     votes = np.zeros((m, len(KINDS)))
     votes[np.arange(m), kind_of] = 1
-    prior = np.array([0.6, 0.1, 0.1, 0.1, 0.1])
-    own, other = np.full(m, 0.5), np.full(m, 0.03)
+    usual = np.array([0.6, 0.1, 0.1, 0.1, 0.1])
+    # the more functions a kind has, the fewer of them fire on a record of it
+    likely = np.clip(1.4 / votes.sum(0), 0.2, 0.8)[np.array(kind_of)]
+    prior, own, other = usual, likely, np.full(m, 0.02)
     for _ in range(rounds):
         post = posteriors(fired, votes, prior, own, other)
         weight = post * counts[:, None]
-        prior = (weight.sum(0) + 1) / (counts.sum() + len(KINDS))
-        on = (fired.T @ weight) * 1.0  # function x kind
         mass = weight.sum(0)
-        # weak beliefs, worth a few dozen records, keep a function that never fires or always agrees from certainty
-        own = ((on * votes).sum(1) + 5) / ((votes * mass).sum(1) + 10)
-        other = ((on * (1 - votes)).sum(1) + 1) / (((1 - votes) * mass).sum(1) + 40)
+        on = fired.T @ weight  # function x kind
+        # prior beliefs worth some dozens of records: they decide in a small table and vanish in a large one
+        prior = (mass + 50 * usual) / (counts.sum() + 50)
+        own = ((on * votes).sum(1) + likely * 30) / ((votes * mass).sum(1) + 30)
+        other = ((on * (1 - votes)).sum(1) + 0.02 * 200) / (((1 - votes) * mass).sum(1) + 200)
         other = np.minimum(other, 0.9 * own)  # a vote never speaks against its own kind
     return prior, own, other
 
@@ -192,7 +197,7 @@ def kinds(df: DataFrame, common: list[str], id_col: str = "pos", text_col: str =
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.regexp_replace("_t", _TRIM, "") != "")
     functions = _functions(common)
     mask = sum((F.when(cond, F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, _, cond) in enumerate(functions)), F.lit(0))
-    voted = _measures(rows, common).select(id_col, mask.alias("votes"))
+    voted = stage(_measures(rows, common).select(id_col, mask.alias("votes")))  # read twice: for the counts and for the result
     found = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** len(functions) rows
     patterns, counts = np.array([r.votes for r in found], dtype=np.int64), np.array([r.n for r in found], dtype=float)
     kind_of = [KINDS.index(k) for _, k, _ in functions]
