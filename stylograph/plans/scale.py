@@ -63,11 +63,9 @@ def skew_join(rows: DataFrame, found: DataFrame, keys: Sequence[str], counts: Da
     `found` is unique (or nearly so) by key. Hot keys go by a broadcast of their few `found` rows, all others
     by one shuffle. `how`: inner or left_semi.
     """
-    hot = hot_keys(counts, keys, total)
-    some = hot.limit(1).count()
-    if not some:
+    hot = cut(hot_keys(counts, keys, total))
+    if not hot.limit(1).count():
         return rows.join(found, list(keys), how)
-    hot = cut(hot)
     warm = rows.join(F.broadcast(hot), list(keys), "left_semi").join(F.broadcast(found.join(F.broadcast(hot), list(keys), "left_semi")), list(keys), how)
     cold = rows.join(F.broadcast(hot), list(keys), "left_anti").join(found, list(keys), how)
     return warm.unionByName(cold)
