@@ -6,7 +6,8 @@ total budget, so that at any prefix each source holds its share, up to one docum
 
 Defined results: source names are compared trimmed and in lower case; documents of a source without target, with
 a null source, or without tokens (null and empty texts) take no part; a target with a null or non-positive share
-or repeat count takes no part; repeated rows of a target count once (largest share). Shares are scaled to add up
+or repeat count takes no part; repeated rows of a target count once (largest share), as do those of a document (largest size); rows with a null
+document identifier take no part. Shares are scaled to add up
 to 1. Without a budget the largest total is taken for which no source needs more than its repeats. A use that
 would exceed the budget ends the mix. Equal finish times are ordered by source, document and repeat.
 """
@@ -40,7 +41,8 @@ def mix(docs: DataFrame, targets: DataFrame, n_tokens: Column, budget: int | Non
     """
     sized = docs.select("doc_id", clean_source(F.col("source")).alias("source"), n_tokens.cast("bigint").alias("n_tokens"))
     target = _targets(targets)
-    sized = cut(sized.where("n_tokens > 0 AND source IS NOT NULL").join(F.broadcast(target.select("source")), "source", "left_semi"))
+    sized = sized.where("n_tokens > 0 AND source IS NOT NULL AND doc_id IS NOT NULL").join(F.broadcast(target.select("source")), "source", "left_semi")
+    sized = cut(sized.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("s")).select("doc_id", "s.source", "s.n_tokens"))
     totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count(F.lit(1)).alias("docs")).join(target, "source").collect()
     share = {r.source: r.share for r in totals}
     whole = sum(share.values()) or 1.0

@@ -42,6 +42,8 @@ def test_budget_and_odd_rows(spark):
     assert 90 <= mixed.agg(F.sum("n_tokens")).first()[0] <= 100
     odd = docs.withColumns({"source": F.lit(None).cast("string"), "share": F.lit(1), "total": F.lit(2)})
     assert mixing.mix(odd, targets, F.col("size")).count() == 0
+    assert mixing.mix(docs.unionByName(docs), targets, F.col("size")).count() == mixing.mix(docs, targets, F.col("size")).count()
+    assert mixing.mix(docs.withColumn("doc_id", F.lit(None).cast("bigint")), targets, F.col("size")).count() == 0
     assert mixing.mix(docs.limit(0), targets, F.col("size")).count() == 0
     assert mixing.mix(docs, targets.limit(0), F.col("size")).count() == 0
     assert mixing.mix(docs, targets, F.lit(0)).count() == 0
