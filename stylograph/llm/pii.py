@@ -160,7 +160,7 @@ class Field:
             keys.append(row)
         found = []
         for text, spans, labels in zip(texts, tokens, self.decode(keys)):
-            found.append([p for p in (_checked(text, *piece) for piece in _pieces(spans, labels)) if p] if labels.any() else [])
+            found.append([p for piece in _pieces(spans, labels) for p in _checked(text, *piece)] if labels.any() else [])
         return found
 
 
@@ -182,12 +182,13 @@ _PART = re.compile(r"[^\W\d_]+")
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 _DOT = r"(?:\s?\.\s?|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 _MORE = re.compile(r"[-.‑ ](\d{2,4})(?!\w)")
+_LOWER_FIRST = re.compile(r"[a-zß-öø-ÿ]+[\s,.:]+")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 _EMAIL = re.compile(rf"[\w.+%-]*\w{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
 
 
-def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
-    """The piece without punctuation at its ends, if it holds what its kind must."""
+def _checked(text: str, start: int, end: int, kind: str) -> list[tuple[int, int, str]]:
+    """The piece without punctuation at its ends, if it holds what its kind must; e-mail addresses that came out as one are parted."""
     while start < end and not text[start].isalnum() and not (kind == "phone" and text[start] in "(+"):
         start += 1
     while end > start and not text[end - 1].isalnum():
@@ -198,19 +199,20 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
         end = m.end()
         piece, digits = text[start:end], digits + len(m[1])
     if kind in ("phone", "id_number") and (start and (text[start - 1].isalnum() or text[start - 1] in "/_#@=") or end < len(text) and text[end].isalnum() or "  " in piece or _DATE.fullmatch(piece)):
-        return None
+        return []
     if kind == "email":
-        m = _EMAIL.search(piece)
-        return (start + m.start(), start + m.end(), kind) if m else None
+        return [(start + m.start(), start + m.end(), kind) for m in _EMAIL.finditer(piece)]
     if "\n" in piece and kind != "address" or "\t" in piece:
-        return None
+        return []
     if kind == "name":
+        while (m := _LOWER_FIRST.match(piece)) and not piece.islower():  # a name does not start in lower case, unless all of it is
+            start, piece = start + m.end(), piece[m.end() :]
         parts = _PART.findall(_POST_NOMINAL.sub("", piece))
         mixed = any(p.islower() and len(p) == 1 for p in parts) and not piece.islower()
         ok = not mixed and 2 <= len(parts) <= 6 and max(map(len, parts)) >= 2 and not digits
     else:
         ok = {"phone": 8 <= digits <= 19, "id_number": digits >= 6 and len(piece) <= 24, "address": digits >= 1 and len(piece) <= 80 and any(c.isalpha() for c in piece)}[kind]
-    return (start, end, kind) if ok else None
+    return [(start, end, kind)] if ok else []
 
 
 def viterbi(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -50,7 +50,7 @@ EMAILS = ["write to <{E}>", "reach me at {E} please", "my address is {E}", "mail
 PHONES = ["tel: {P} after {d2}:{d2}", "or {P}", "my number: {P} the {n} is {a}", "tel: {P}", "ring {P} or just turn up", "call {P} after six", "WhatsApp {P} if you want in", "text me on {P}", "my new number is {P}", "(phone {P})", "{P}", "phone {P}, fax {P}"]
 IDS = [
     "SSN {I}", "ssn {S}", "my social is {S}", "social security number {S} in case the {n} asks", "NI no. {Q}", "my NINO is {Q} in case the form wants it", "NI number {Q} on the form", "national insurance {Q}, don't share", "travelling on passport {X}", "passport no {X}",
-    "driving licence {L}", "driver's license {L}, don't share", "DNI {D} on the form", "ID card {B}", "identity card number {B} on the form", "my ID no. is {B}", "SSN no dashes {9}", "ssn no dashes {9} on the form", "social {9}", "my ssn {9}, don't share", "ssn: {S}", "nino: {Q}", "mi DNI es {D}", "social: {S}", "tax id (personal) {S}", "they asked for my SSN, it's {S}", "Passport number: {X} in case the {n} asks", "passport no. {X}", "passport {X}", "licence number {L}", "{B} on the form", "{S}", "{Q}", "my id number is {I}", "{S} in case the {n} asks", "{Q} on the form", "{L}", "ID: {B}",
+    "driving licence {L}", "driver's license {L}, don't share", "DNI {D} on the form", "ID card {B}", "identity card number {B} on the form", "my ID no. is {B}", "SSN no dashes {9}", "ssn no dashes {9} on the form", "ssn {9}", "ssn {9} on the form", "ssn {9} in case the {n} asks", "SSN no dashes {9} in case the {n} asks", "SSN no dashes {9}, don't share", "social {9}", "my ssn {9}, don't share", "ssn: {S}", "nino: {Q}", "mi DNI es {D}", "social: {S}", "tax id (personal) {S}", "they asked for my SSN, it's {S}", "Passport number: {X} in case the {n} asks", "passport no. {X}", "passport {X}", "licence number {L}", "{B} on the form", "{S}", "{Q}", "my id number is {I}", "{S} in case the {n} asks", "{Q} on the form", "{L}", "ID: {B}",
 ]
 PLACES = ["I live at {A} now", "party at {A} from eight", "drop it off at {A}", "meet outside {A}", "we moved to {A}", "deliver to {A}, side door", "send it to {A}", "my place is {A}", "parcel for {A}", "come to {A} tonight"]
 MIXED = ["Contact {N} ({E}) or {P}", "name: {N}\nmail: {E}\nphone: {P}", "— {N}, {E}, {P}", "{N} / {E} / {P}", "{N} <{E}>", "{N}, {A}", "{N} {P}"]
