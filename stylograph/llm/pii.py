@@ -182,6 +182,7 @@ _PART = re.compile(r"[^\W\d_]+")
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 _DOT = r"(?:\s?\.\s?|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 _MORE = re.compile(r"[-.‑ ](\d{2,4})(?!\w)")
+_PHONE = re.compile(r"[+(\d][\d\s().‑–/-]*(?:(?:ext\.?|extension|x)\s?\d+)?", re.I)
 _LOWER_FIRST = re.compile(r"[a-zß-öø-ÿ]+[\s,.:]+")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 _EMAIL = re.compile(rf"[\w.+%-]*\w{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
@@ -209,9 +210,9 @@ def _checked(text: str, start: int, end: int, kind: str) -> list[tuple[int, int,
             start, piece = start + m.end(), piece[m.end() :]
         parts = _PART.findall(_POST_NOMINAL.sub("", piece))
         mixed = any(p.islower() and len(p) == 1 for p in parts) and not piece.islower()
-        ok = not mixed and 2 <= len(parts) <= 6 and max(map(len, parts)) >= 2 and not digits
+        ok = not mixed and bool(re.search(r"[\s,]", piece)) and 2 <= len(parts) <= 6 and max(map(len, parts)) >= 2 and not digits
     else:
-        ok = {"phone": 8 <= digits <= 19, "id_number": digits >= 6 and len(piece) <= 24, "address": digits >= 1 and len(piece) <= 80 and any(c.isalpha() for c in piece)}[kind]
+        ok = {"phone": 8 <= digits <= 19 and bool(_PHONE.fullmatch(piece)), "id_number": digits >= 6 and len(piece) <= 24 and not re.search(r"[;,%|#]", piece), "address": digits >= 1 and len(piece) <= 80 and any(c.isalpha() for c in piece)}[kind]
     return [(start, end, kind)] if ok else []
 
 
