@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,25 +223,29 @@ def render_guide(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(render_style_guide(measured, "A measured writer.", ["No made-up facts."]),)], "guide string")
 
 
+def _parsing(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the raw export that parse."""
+    return table(spark, d, "archive_raw").where(F.try_parse_json("record").isNotNull() & F.trim("record").startswith("{"))
+
+
 def load_archive(spark: SparkSession, d: str) -> DataFrame:
-    """An archive export of hand-made records, written to a temporary folder and read back."""
-    records = [
-        {"tweet": {"id_str": "1", "full_text": "One post.", "created_at": "Mon Jan 01 00:00:00 +0000 2024"}},
-        {"tweet": {"id_str": "2", "full_text": "@a a reply", "in_reply_to_status_id_str": "1"}},
-        {"id": 3, "text": "RT @b: shared", "retweeted_status": {}},
-        {"id": "4", "text": "bare = with an equals sign; and more", "retweeted_status": None},
-    ]
-    folder = tempfile.mkdtemp(prefix="stylograph-archive-")
+    """The records of the raw export that parse, written as an archive export into the checkpoint folder (in order of `raw_id`) and read back."""
+    from stylograph.plans.scale import checkpoint_dir
+
+    folder = f"{urlparse(checkpoint_dir(spark)).path}/archive-{os.urandom(8).hex()}"
+    os.makedirs(folder)
     with open(os.path.join(folder, "tweets.js"), "w", encoding="utf-8-sig") as f:
-        f.write("window.YTD.tweets.part0 = " + json.dumps(records, indent=1) + ";\n")
-    rows = archive.read_archive(spark, folder)
-    return spark.createDataFrame(rows.collect(), rows.schema)  # the folder is only this machine's
+        f.write("window.YTD.tweets.part0 = [")
+        # one part of the table at a time is in the driver
+        for i, row in enumerate(_parsing(spark, d).orderBy("raw_id").select("record").toLocalIterator()):
+            f.write((",\n" if i else "\n") + row.record)
+        f.write("\n];\n")
+    return archive.read_archive(spark, folder)
 
 
 def normalize_records(spark: SparkSession, d: str) -> DataFrame:
     """Every record of the raw export, read as posts; records that do not parse are left out."""
-    rows = table(spark, d, "archive_raw").where(F.try_parse_json("record").isNotNull() & F.trim("record").startswith("{"))
-    return rows.select("raw_id", archive.normalize(F.col("record")).alias("p")).select("raw_id", "p.*")
+    return _parsing(spark, d).select("raw_id", archive.normalize(F.col("record")).alias("p")).select("raw_id", "p.*")
 
 
 def _answer(system: str, prompt: str) -> str:

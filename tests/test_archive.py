@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -42,6 +43,17 @@ def test_errors(spark, tmp_path):
             archive.read_archive(spark, export(tmp_path / str(i), content))
 
 
+def test_the_query_reads_every_record_of_the_export(spark):
+    from stylograph.plans import queries as Q
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    want = [tuple(r)[1:] for r in Q.normalize_records(spark, folder).orderBy("raw_id").collect()]
+    got = Q.load_archive(spark, folder).orderBy("pos").collect()
+    assert len(want) > 4 and [r.pos for r in got] == list(range(len(want))) and [tuple(r)[1:] for r in got] == want
+
+
 def test_voice(tmp_path):
     path = str(tmp_path / "v.json")
     voice.write_voice(path, "guide é", ["a", "b"])
