@@ -23,7 +23,7 @@ BANNED = ["mortgage", "budget", "tomato"]
 ON_BRAND = ["compiler", "parser", "query", "server", "database"]
 EXCLUDED = ["still", "every", "BEFORE"]
 THRESHOLD = 5.0
-#: Seed texts of the prompt queries.
+#: Seed texts of the prompt queries that have SQL, which holds them as they are.
 SEEDS = ["The kettle is on again.", "Shipped a small fix before lunch."]
 
 
@@ -255,13 +255,17 @@ def _answer(system: str, prompt: str) -> str:
     return ("INTERJECT" if "?" in prompt.split("<message>")[-1].split("</message>")[0] else "SILENT") if "INTERJECT" in prompt else '"Sounds good."'
 
 
+def _seeds(spark: SparkSession, d: str) -> list[str]:
+    return prompts.seeds(table(spark, d, "exemplars"))
+
+
 def generate_candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "accounts").select("account_id", F.coalesce("persona", F.lit("")).alias("context"))
-    return model.generate_candidates(rows, model.fake_client(_answer), "guide", SEEDS).select("account_id", "candidates", "error")
+    return model.generate_candidates(rows, model.fake_client(_answer), "guide", _seeds(spark, d)).select("account_id", "candidates", "error")
 
 
 def generate_replies(spark: SparkSession, d: str) -> DataFrame:
-    return model.generate_replies(_with_history(spark, d), model.fake_client(_answer), "guide", SEEDS).select("pos", "reply", "error")
+    return model.generate_replies(_with_history(spark, d), model.fake_client(_answer), "guide", _seeds(spark, d)).select("pos", "reply", "error")
 
 
 def extract_facts(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,26 @@ def test_cli(spark, tmp_path, capsys):
     args = cli.build_parser().parse_args(["generate", out, "--context", "c", "--model", "m", "--base-url", "http://localhost:1"])
     cli.generate(spark, args, M.fake_client(lambda s, p: '["four"]'))
     assert capsys.readouterr().out == "[  4c] four\n"
+
+
+@pytest.mark.parametrize("query, column", [("generate_candidates", "error"), ("generate_replies", "reply")])
+def test_queries_draw_their_seeds_from_the_exemplars(spark, monkeypatch, query, column):
+    from stylograph.plans import queries as Q
+    from stylograph.sources.tables import table
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    drawn = P.seeds(table(spark, folder, "exemplars"))
+    assert len(drawn) == P.SEEDS
+    raises = M.GenerationError
+
+    def answer(system, prompt):
+        if column == "error":
+            raise raises(prompt)
+        return prompt
+
+    monkeypatch.setattr(Q, "_answer", answer)
+    lines = "\n".join(f"- {x}" for x in drawn)
+    got = [r[column] for r in Q.queries()[query](spark, folder).collect()]
+    assert got and all(f"These are {len(drawn)} texts" in x and f"<examples>\n{lines}\n</examples>" in x for x in got)
