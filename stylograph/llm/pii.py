@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stylograph.llm.pii_examples import labelled_table
+from stylograph.sources.tables import small_rows
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -401,7 +402,7 @@ class Recognizer:
     """Column functions of a trained field; its weights (some MB, whatever the data) are broadcast once."""
 
     def __init__(self, spark: SparkSession, known_names: DataFrame):
-        rows = known_names.select("token", "kind").where("token IS NOT NULL").limit(MOST_NAMES).collect()
+        rows = small_rows(known_names.select("token", "kind").where("token IS NOT NULL"), MOST_NAMES, "the table of known names")
         field = fitted(sorted((r.token, r.kind or "") for r in rows))
         key = hashlib.sha256(repr(sorted((r.token, r.kind or "") for r in rows)).encode()).hexdigest()
         shared = spark.sparkContext.broadcast((field.features, field.names, field.near.astype(np.float16), field.far.astype(np.float16), field.transitions))

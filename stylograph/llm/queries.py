@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from stylograph.llm import abuse, dedup, mixing, pii, quality, spans
 from stylograph.llm.neardup import NearDuplicates
 from stylograph.llm.tokens import Tokenizer
-from stylograph.sources.tables import table
+from stylograph.sources.tables import small_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rows that the table of common words may have; it is a fixed list, not data that grows.
+MOST_COMMON = 10_000
+
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse.scores(table(spark, d, "archive_posts"), table(spark, d, "safety_scores"))
@@ -61,7 +64,7 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 def _common(spark: SparkSession, d: str) -> list[str]:
     """The fixed table of common words (about a hundred rows)."""
-    return [r.word for r in table(spark, d, "common_words").select("word").limit(10_000).collect() if r.word]
+    return [r.word for r in small_rows(table(spark, d, "common_words").select("word"), MOST_COMMON, "the table of common words") if r.word]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

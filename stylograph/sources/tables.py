@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -23,3 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table `name` for work that is heavy for its size: its rows are on all cores, however few its files."""
     return spread(table(spark, folder, name))
+
+
+def small_rows(df: DataFrame, most: int, what: str) -> list[Row]:
+    """All rows of a lookup table; ValueError if there are more than `most`. One row beyond these is read at most."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return rows

@@ -66,3 +66,11 @@ def test_columns(spark):
     out = {x.id: x.y for x in df.select("id", r.redacted("text").alias("y")).collect()}
     assert out[1] == "lunch with [NAME] was fun. lunch with [NAME] was fun. call [PHONE] after six" and out[2] is None and out[3] == ""
     assert pii.found(df.limit(0), r, "t", "id").count() == 0
+
+
+def test_a_table_of_too_many_names_is_an_error(spark, monkeypatch):
+    names = spark.createDataFrame([(f"Name{i}", "given") for i in range(4)] + [(None, "given")], "token string, kind string")
+    monkeypatch.setattr(pii, "MOST_NAMES", 3)
+    monkeypatch.setattr(pii, "fitted", lambda names: pytest.fail("the names were cut"))
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        pii.Recognizer(spark, names)

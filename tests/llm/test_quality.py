@@ -49,3 +49,15 @@ def test_learned_rates():
     masks, counts = np.unique((fired * (1 << np.arange(9))).sum(1), return_counts=True)
     prior, learned, _ = Q.fit(masks, counts.astype(float), kind_of)
     assert np.abs(learned - own).max() < 0.1 and abs(prior[0] - 0.6) < 0.05
+
+
+def test_a_table_of_too_many_common_words_is_an_error(spark, tmp_path):
+    from stylograph.llm import queries
+
+    def words(n):
+        spark.range(n).selectExpr("concat('w', id) AS word").write.mode("overwrite").parquet(f"{tmp_path}/common_words.parquet")
+        return queries._common(spark, str(tmp_path))
+
+    assert len(words(10_000)) == 10_000
+    with pytest.raises(ValueError, match="more than 10000 rows"):
+        words(10_001)
