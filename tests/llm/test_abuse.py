@@ -1,9 +1,13 @@
 import os
+import sys
 
 import pytest
 
 from stylograph.llm import abuse as A
 
+sys.path.insert(0, os.path.dirname(__file__))
+from abuse_cases import ABUSIVE, HARMLESS as FREE  # noqa: E402
+
 CASES = [
     "what a stupid loser you are", "you w0r7hles$ c*ward!!", "I hope someone brrrreaks your legs", "send me your n.u.d.e.s now", "you deserve to be b e a t e n up", "all Xandrians are VERMIN", "hot nakeeed pics in my profile",
     "@someone is a m*ron and everyone knows it", "keep those filthy hill-folk away from our schools", "I will find you, and hurt you", "horny and alone, who wants to sext", "go ch*ke on your lamp", "nobody likes you", "never trust a Borovian, s-u-b-h-u-m-a-n lot",
@@ -32,6 +36,28 @@ def test_harmless(scorer, text):
     assert scorer.score(text)[0] < A.THRESHOLD
 
 
+def test_sentences_written_by_hand(scorer):
+    missed = [t for t in ABUSIVE if scorer.score(t)[0] < A.THRESHOLD]
+    flagged = [t for t in FREE if scorer.score(t)[0] >= A.THRESHOLD]
+    assert len(missed) <= 0.05 * len(ABUSIVE), missed
+    assert len(flagged) <= 0.05 * len(FREE), flagged
+
+
+def test_weights_add_up_in_a_clause(scorer):
+    """A word with harmless senses counts less than one without, and an adjective adds to it."""
+    assert scorer.score("you pig!")[0] < scorer.score("you idiot!")[0] < scorer.score("you worthless idiot!")[0]
+    assert scorer.score("you are a rat catcher")[0] < A.THRESHOLD <= scorer.score("you are a rat")[0]
+
+
+@pytest.mark.parametrize("text", ["You are an idiot, he said.", "you are an idiot! She shouted it twice", "he said you are an idiot"])
+def test_reported_speech(scorer, text):
+    assert scorer.score(text)[0] < A.THRESHOLD
+
+
+def test_what_follows_need_not_be_a_report(scorer):
+    assert scorer.score("you are an idiot. he went on")[0] >= A.THRESHOLD
+
+
 def test_each_category_counts_once(scorer):
     assert scorer.score("you idiot. you moron. I will find you") == (13.0, ["insult", "threat"])
     assert scorer.score("lamp " * 200_000 + "you idiot")[0] == 5.0
