@@ -3,7 +3,8 @@
 Defined results: a null and an empty text both give an empty list, never null; blank texts are encoded as they
 are; special tokens are never produced, their strings are ordinary text; ids outside the rank file decode to
 nothing. Texts of any length are encoded whole: a long one is split where the pre-splitting pattern always
-splits, before white space that follows something else, so the ids are those of the unsplit text.
+splits, before white space that follows something else, so the ids are those of the unsplit text. A long run of white space is
+one piece to that pattern, but for its last character if more follows, and is merged as such without the pattern.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_RANK_BYTES = 64 << 20
 PIECE_CHARS = 1 << 16
 
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: White space of Unicode, as the pattern means it.
+_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SAFE = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
+_BLANK_RUN = re.compile(f"[{_WS}]{{{PIECE_CHARS},}}")
 _encoders: dict[int, object] = {}
 
 
@@ -39,6 +43,17 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def parts_of(text: str, run: re.Pattern = _BLANK_RUN) -> Iterator[tuple[str, bool]]:
+    """The text in parts, those of white space only (marked true) from its long runs."""
+    start = 0
+    for found in run.finditer(text):
+        end = found.end() - (found.end() < len(text))  # the last character goes with what follows
+        yield text[start : found.start()], False
+        yield text[found.start() : end], True
+        start = end
+    yield text[start:], False
+
+
 def build_encoder(data: bytes):
     """A tiktoken encoding of the content of a rank file."""
     import tiktoken
@@ -52,7 +67,14 @@ def encode_text(encoder, text: str | None) -> list[int]:
         return []
     if len(text) <= PIECE_CHARS:
         return encoder.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in encoder.encode_ordinary(piece)]
+    ids: list[int] = []
+    for part, blank in parts_of(text):
+        if blank:
+            ids += encoder._encode_single_piece(part)
+        elif part:
+            for piece in safe_pieces(part):
+                ids += encoder.encode_ordinary(piece)
+    return ids
 
 
 class Tokenizer:

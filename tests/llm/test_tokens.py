@@ -49,3 +49,27 @@ def test_pieces_do_not_change_the_ids(text, size):
     pieces = list(T.safe_pieces(text, size))
     assert "".join(pieces) == text
     assert [i for p in pieces for i in encoder.encode_ordinary(p)] == encoder.encode_ordinary(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab1 .'\n\t\x1c\u2003  "), min_size=0, max_size=60), st.integers(2, 5))
+def test_long_blank_runs_do_not_change_the_ids(text, size):
+    import re
+
+    with open(T.RANK_FILE, "rb") as f:
+        data = f.read()
+    if not T._encoders.get(0):
+        T._encoders[0] = T.build_encoder(data)
+    encoder = T._encoders[0]
+    parts = list(T.parts_of(text, re.compile(f"[{T._WS}]{{{size},}}")))
+    assert "".join(p for p, _ in parts) == text
+    assert [i for p, blank in parts if p for i in (encoder._encode_single_piece(p) if blank else encoder.encode_ordinary(p))] == encoder.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", " \n", "\u3000"])
+def test_very_long_blank_runs(encoder, blank):
+    run = blank * (10**7 // len(blank))
+    ids = T.encode_text(encoder, "word" + run + "word" + run)
+    assert encoder.decode_bytes(ids) == ("word" + run + "word" + run).encode()
+    half = blank * (300_000 // len(blank))
+    assert T.encode_text(encoder, f"x{half}y. {half}") == encoder.encode_ordinary(f"x{half}y. {half}")
