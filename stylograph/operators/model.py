@@ -37,8 +37,9 @@ class Request:
     timeout: float = 120.0
 
 
-#: A client takes (system, prompt) and returns the answer, or raises GenerationError.
-Client = Callable[[str, str], str]
+#: A client takes (system, prompt, further fields of the request) and returns the answer, or raises GenerationError.
+Client = Callable[[str, str, dict], str]
+#: Makes one client for a partition. Its `check`, if it has one, is called on the driver before a job starts, and raises GenerationError.
 ClientFactory = Callable[[], Client]
 
 
@@ -50,35 +51,58 @@ def answer_text(response: dict) -> str:
     return ((choices[0].get("message") or {}).get("content") or "").strip()
 
 
-def http_client(request: Request) -> ClientFactory:
+@dataclass(frozen=True)
+class HttpClients:
     """Clients of a chat-completions service, one for each partition."""
 
-    def make() -> Client:
-        key = os.environ.get(request.api_key_env, "")
+    request: Request
+
+    def check(self) -> str:
+        key = os.environ.get(self.request.api_key_env, "")
         if not key:
             raise GenerationError("no API key configured")
+        return key
+
+    def body(self, system: str, prompt: str, fields: dict) -> dict:
+        """The request; the caller's `extra_body` overrides the stage's own fields."""
+        messages = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
+        return {"model": self.request.model, "messages": messages, **fields, **self.request.extra_body}
 
-        def ask(system: str, prompt: str) -> str:
-            body = {"model": request.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}], **request.extra_body}
-            call = urllib.request.Request(request.base_url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+    def __call__(self) -> Client:
+        key = self.check()
+
+        def ask(system: str, prompt: str, fields: dict) -> str:
+            call = urllib.request.Request(self.request.base_url.rstrip("/") + "/chat/completions", json.dumps(self.body(system, prompt, fields)).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
             try:
-                with urllib.request.urlopen(call, timeout=request.timeout) as response:
+                with urllib.request.urlopen(call, timeout=self.request.timeout) as response:
                     return answer_text(json.load(response))
             except (OSError, ValueError) as error:
                 raise GenerationError(str(error)) from error
 
         return ask
 
-    return make
+
+def http_client(request: Request) -> HttpClients:
+    return HttpClients(request)
 
 
 def fake_client(answer: Callable[[str, str], str]) -> ClientFactory:
-    """Clients that answer by a plain function, for tests and dry runs."""
-    return lambda: answer
+    """Clients that answer by a plain function of system and prompt, for tests and dry runs."""
+    return lambda: lambda system, prompt, fields: answer(system, prompt)
 
 
-def ask(df: DataFrame, client: ClientFactory, system: str, prompt_col: str = "prompt") -> DataFrame:
-    """`df` with `answer` and `error`, one request for each row."""
+def checked(client: ClientFactory, exemplars: list[str] | None = None) -> None:
+    """GenerationError, before any job, for a client that cannot work or for an empty list of exemplars."""
+    check = getattr(client, "check", None)
+    if check:
+        check()
+    if exemplars is not None and not exemplars:
+        raise GenerationError("no exemplars supplied")
+
+
+def ask(df: DataFrame, client: ClientFactory, system: str, prompt_col: str = "prompt", fields: dict | None = None) -> DataFrame:
+    """`df` with `answer` and `error`, one request for each row; `fields` go into every request."""
+    fields = dict(fields or {})
     schema = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +112,7 @@ def ask(df: DataFrame, client: ClientFactory, system: str, prompt_col: str = "pr
             for prompt in batch.column(prompt_col).to_pylist():
                 try:
                     call = call or client()
-                    answers.append((call(system, prompt or "") or "").strip())
+                    answers.append((call(system, prompt or "", fields) or "").strip())
                     errors.append(None)
                 except GenerationError as error:
                     answers.append(None)
@@ -163,43 +187,43 @@ def parse_facts(text: Column | str) -> Column:
     return _parser(facts_of)(text)
 
 
-def _need_exemplars(exemplars: list[str]) -> None:
-    if not exemplars:
-        raise GenerationError("no exemplars supplied")
-
-
 def _parsed(asked: DataFrame, parser: Callable[[Column | str], Column], out: str) -> DataFrame:
     """The answers are staged before they are parsed, so that reading the result again asks nothing again."""
     rows = stage(asked).withColumn("_p", parser("answer"))
     return rows.withColumn(out, F.col("_p.values")).withColumn("error", F.coalesce("error", F.col("_p.error"))).drop("_p", "answer", "prompt")
 
 
-def generate_candidates(df: DataFrame, client: ClientFactory, style_guide: str, exemplars: list[str], count: int = 6, context_col: str = "context") -> DataFrame:
-    """`df` with `candidates` and `error`."""
-    _need_exemplars(exemplars)
-    asked = ask(df.withColumn("prompt", prompts.candidates_prompt(F.col(context_col), exemplars, count)), client, style_guide)
+def generate_candidates(df: DataFrame, client: ClientFactory, style_guide: str, exemplars: list[str] | DataFrame, count: int = 6, context_col: str = "context", seed_count: int = prompts.SEEDS, seed: int = 0) -> DataFrame:
+    """`df` with `candidates` and `error`. `seed_count` of the exemplars, drawn by `seed`, go into each prompt."""
+    drawn = prompts.seeds(exemplars, seed_count, seed)
+    checked(client, drawn)
+    asked = ask(df.withColumn("prompt", prompts.candidates_prompt(F.col(context_col), drawn, count)), client, style_guide)
     return _parsed(asked, parse_candidates, "candidates")
 
 
-def generate_replies(df: DataFrame, client: ClientFactory, style_guide: str, exemplars: list[str], message: str = "text", author: str = "speaker", history: str = "history") -> DataFrame:
-    """`df` with `reply` and `error`."""
-    _need_exemplars(exemplars)
-    prompt = prompts.reply_prompt(F.col(message), F.col(author), F.col(history), exemplars)
+def generate_replies(df: DataFrame, client: ClientFactory, style_guide: str, exemplars: list[str] | DataFrame, message: str = "text", author: str = "speaker", history: str = "history", seed_count: int = prompts.SEEDS, seed: int = 0) -> DataFrame:
+    """`df` with `reply` and `error`. `seed_count` of the exemplars, drawn by `seed`, go into each prompt."""
+    drawn = prompts.seeds(exemplars, seed_count, seed)
+    checked(client, drawn)
+    prompt = prompts.reply_prompt(F.col(message), F.col(author), F.col(history), drawn)
     return stage(ask(df.withColumn("prompt", prompt), client, style_guide)).withColumn("reply", X.strip_quotes(F.col("answer"))).drop("answer", "prompt")
 
 
 def extract_facts(df: DataFrame, client: ClientFactory, message: str = "text", author: str = "speaker", known: str = "known") -> DataFrame:
     """`df` with `facts` and `error`."""
+    checked(client)
     prompt = prompts.facts_prompt(F.col(message), F.col(author), F.col(known))
     return _parsed(ask(df.withColumn("prompt", prompt), client, prompts.FACTS_SYSTEM), parse_facts, "facts")
 
 
 def should_interject(df: DataFrame, client: ClientFactory, message: str = "text", author: str = "speaker", history: str = "history") -> DataFrame:
-    """`df` with `interject` and `error`; only an answer that starts with INTERJECT says yes."""
+    """`df` with `interject` and `error`; only an answer that starts with INTERJECT says yes. The request is short and steady (`interject_body`),
+    unless the client's own fields say otherwise; a missing key is each row's error, as in a stage that only decides."""
     prompt = prompts.interject_prompt(F.col(message), F.col(author), F.col(history))
-    return stage(ask(df.withColumn("prompt", prompt), client, prompts.INTERJECT_SYSTEM)).withColumn("interject", X.decision(F.col("answer"))).drop("answer", "prompt")
+    asked = ask(df.withColumn("prompt", prompt), client, prompts.INTERJECT_SYSTEM, fields=interject_body())
+    return stage(asked).withColumn("interject", X.decision(F.col("answer"))).drop("answer", "prompt")
 
 
 def interject_body(extra_body: dict | None = None) -> dict:
-    """The body of a decision's request: short and steady, unless the caller says otherwise."""
+    """Further fields of a decision's request; the caller's override."""
     return {"temperature": 0, "max_tokens": 8, **(extra_body or {})}

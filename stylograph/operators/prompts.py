@@ -1,7 +1,9 @@
-"""Prompts for the model stages, as Column expressions; conversation history by bounded windows."""
+"""Prompts for the model stages, as Column expressions; conversation history by windows."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,53 +11,50 @@ from pyspark.sql.window import Window
 from stylograph.functions.text import bullets
 
 NONE_YET = "(none yet)"
-#: Earlier turns that a history holds at most; the caller's choice.
-TURNS = 20
 SEEDS = 20
 
-CANDIDATES = """Keep to the style guide, its lengths above all. These are {k} texts that this person really wrote; take their rhythm and level of detail, not their topics.
+CANDIDATES = """Task: propose {n} posts for the situation below, no two alike in opening or length. The style guide sets the limits.
 
+These are {k} texts by the person you write for. Copy their manner, leave their subjects:
 <examples>
 {exemplars}
 </examples>
 
-Write {n} clearly different candidates about the context, of varied length.
-
-Do not invent specific facts, numbers, names or events: use only what the context says or what the examples show to be real. A plain true sentence is better than a vivid made-up one.
-
-Answer with a JSON array of strings and nothing else.
-
+Situation:
 <context>
 {context}
 </context>
+
+Do not invent specific facts: a name, a number or an event may appear only if the situation or an example has it. Prefer something plain to something untrue.
+
+Output: one JSON array holding the posts as strings, no other text.
 """
-REPLY = """Keep to the style guide. These are {k} texts that this person really wrote; take their rhythm and level of detail, not their topics.
+REPLY = """Task: one chat message in the manner of the person below, within the style guide.
 
+These are {k} texts by that person. Copy their manner, leave their subjects:
 <examples>
 {exemplars}
 </examples>
 
-The conversation so far, oldest turn first, perhaps with several speakers:
-
+Earlier turns, first to last:
 <history>
 {history}
 </history>
 
-{author} now said to you:
-
+{author} now said:
 <message>
 {message}
 </message>
 
-Answer as this person, in one short message: only its text, without quotation marks or remarks about yourself.
+Do not invent specific facts, and do not take the examples for news: what they tell may be long past. If you do not know, be vague or talk of something else.
 
-Do not invent specific facts or doings: the examples show how this person writes, not what is true today. Where you lack the answer, stay vague or change the subject as a person would.
+Output: the bare message, short, unquoted, without comment.
 """
 FACTS_SYSTEM = (
-    "You keep lasting facts about people in a conversation. From a message and what is known about its sender, return only new, lasting facts that the message tells; "
-    "no opinions, no small talk, nothing known already. Call the sender by the given name, never as 'the author' or 'the user'."
+    "You note what stays true about people. Given a message and the notes on its sender, list what the message adds that will still hold next month. "
+    "Skip moods, chat and anything noted before. Write the sender's given name, never as 'the author' or 'the user'."
 )
-FACTS = """Known facts about {author}:
+FACTS = """Notes on {author}:
 <known>
 {known}
 </known>
@@ -65,13 +64,13 @@ FACTS = """Known facts about {author}:
 {message}
 </message>
 
-Answer with a JSON array of new facts about {author} and nothing else; each uses the name "{author}", never "the author" or "the user". Answer [] if there is nothing new.
+Output: a JSON array of new notes, [] if there are none, no other text. Each note uses the name "{author}", never "the author" or "the user".
 """
 INTERJECT_SYSTEM = (
-    "You decide whether one participant of a group conversation should speak up. Leave most talk between others alone. Speak up only for a question to the group, "
-    "a strong opinion that deserves an answer, or a matter the participant can clearly add to."
+    "You watch a group chat for one of its members and say when that member should join in. Mostly the answer is no: others may talk among themselves. "
+    "It is yes for a question to everyone, for a claim that calls for an answer, or where the member knows more than has been said."
 )
-INTERJECT = """The conversation so far, oldest turn first:
+INTERJECT = """Earlier turns, first to last:
 <history>
 {history}
 </history>
@@ -81,7 +80,7 @@ INTERJECT = """The conversation so far, oldest turn first:
 {message}
 </message>
 
-Should the participant speak up? Answer with one word, INTERJECT or SILENT.
+Output: the word INTERJECT if the member should join in, else the word SILENT.
 """
 
 
@@ -107,21 +106,29 @@ def history(turns: Column) -> Column:
     return F.when(F.size(turns) > 0, lines).otherwise(F.lit(NONE_YET))
 
 
-def with_history(df: DataFrame, conversation: list[str], turn: str, speaker: str = "speaker", text: str = "text", turns: int = TURNS) -> DataFrame:
-    """`df` with `history`: the last `turns` earlier turns of the row's conversation, as text.
+def with_history(df: DataFrame, conversation: list[str], turn: str, speaker: str = "speaker", text: str = "text", turns: int | None = None) -> DataFrame:
+    """`df` with `history`: all earlier turns of the row's conversation as text, or only the last `turns` of them if the caller says so.
 
-    A conversation is ordered within one task, so its columns should bound it (a channel and a day, say); what a
-    row holds is bounded by `turns`.
+    A conversation is ordered within one task, so its columns should bound it (a channel and a day, say).
     """
-    before = Window.partitionBy(*conversation).orderBy(turn).rowsBetween(-turns, -1)
+    window = Window.partitionBy(*conversation).orderBy(turn)
+    before = window.rowsBetween(Window.unboundedPreceding if turns is None else -turns, -1)
     earlier = F.collect_list(F.struct(F.col(speaker).alias("speaker"), F.col(text).alias("text"))).over(before)
     return df.withColumn("history", history(earlier))
 
 
-def seeds(exemplars: DataFrame, k: int = SEEDS, seed: int = 0, text_col: str = "text") -> list[str]:
-    """`k` exemplar texts (or all, if fewer), drawn without replacement by a seeded order."""
-    rows = exemplars.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(F.lit(seed), text_col), text_col).limit(k)
-    return [r[0] for r in rows.select(text_col).collect()]
+def seed_rows(exemplars: DataFrame, k: int = SEEDS, seed: int = 0, text_col: str = "text") -> DataFrame:
+    """(rank, text) of `k` exemplars (or all, if fewer), drawn without replacement by a seeded order. Null texts are never drawn."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(text_col)))
+    rows = exemplars.where(F.col(text_col).isNotNull()).select(key.alias("_key"), F.col(text_col).alias("text")).orderBy("_key", "text").limit(k)
+    return rows.select((F.row_number().over(Window.orderBy("_key", "text")) - 1).alias("rank"), "text")  # k rows
+
+
+def seeds(exemplars: DataFrame | list[str], k: int = SEEDS, seed: int = 0, text_col: str = "text") -> list[str]:
+    """The texts of `seed_rows`, also of a plain list."""
+    if isinstance(exemplars, DataFrame):
+        return [r.text for r in seed_rows(exemplars, k, seed, text_col).orderBy("rank").collect()]
+    return sorted(exemplars, key=lambda t: (hashlib.md5(f"{seed}:{t}".encode()).hexdigest(), t))[:k]
 
 
 def candidates_prompt(context: Column, exemplars: list[str], n: int) -> Column:

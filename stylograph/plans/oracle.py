@@ -12,6 +12,7 @@ from stylograph.functions.lexicons import COORDINATORS, DEPENDENT_OPENERS, FUNCT
 from stylograph.functions.text import quote_java
 from stylograph.operators import prompts
 from stylograph.plans import queries as Q
+from stylograph.plans import render
 
 
 def lit(text: str) -> str:
@@ -175,7 +176,7 @@ TURNS = (
     "SELECT p.pos, p.account_id, p.ingested_at::DATE AS day, coalesce(p.text, '') AS text, coalesce(a.handle, '') AS speaker FROM archive_posts p LEFT JOIN accounts a ON p.account_id = a.account_id"
 )
 HISTORY = (
-    f"SELECT *, coalesce(string_agg('- ' || speaker || ': ' || text, chr(10)) OVER (PARTITION BY account_id, day ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), {lit(prompts.NONE_YET)}) AS history FROM ({TURNS})"
+    f"SELECT *, coalesce(string_agg('- ' || speaker || ': ' || text, chr(10)) OVER (PARTITION BY account_id, day ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {lit(prompts.NONE_YET)}) AS history FROM ({TURNS})"
 )
 
 
@@ -184,8 +185,54 @@ def fill(template: str, **values: str) -> str:
     return " || ".join(f"coalesce({values[p]}, '')" if i % 2 else lit(p) for i, p in enumerate(parts) if p)
 
 
-_SEED_LINES = lit("\n".join(f"- {x}" for x in Q.SEEDS))
-_K = lit(str(len(Q.SEEDS)))
+SEEDS = f"SELECT row_number() OVER (ORDER BY md5('0:' || text), text) - 1 AS rank, text FROM exemplars WHERE text IS NOT NULL QUALIFY rank < {prompts.SEEDS}"
+_SEED_LINES = f"(SELECT string_agg('- ' || text, chr(10) ORDER BY rank) FROM ({SEEDS}))"
+_K = f"(SELECT count(*)::VARCHAR FROM ({SEEDS}))"
+CANDIDATE_PROMPTS = f"SELECT account_id, {fill(prompts.CANDIDATES, k=_K, exemplars=_SEED_LINES, n=lit('6'), context='persona')} AS prompt FROM accounts"
+REPLY_PROMPTS = f"SELECT pos, {fill(prompts.REPLY, k=_K, exemplars=_SEED_LINES, history='history', author='speaker', message='text')} AS prompt FROM ({HISTORY})"
+FACT_PROMPTS = f"SELECT pos, {fill(prompts.FACTS, author='speaker', message='text', known=lit(prompts.NONE_YET))} AS prompt FROM ({TURNS})"
+
+
+def rounded(value: str, digits: int) -> str:
+    return f"round({value}, {digits})::VARCHAR"
+
+
+def quoted(mark: str) -> str:
+    """A mark in quotes, as Python shows it."""
+    one, two, back = lit("'"), lit('"'), lit("\\")
+    escaped = f"replace(replace({mark}, {back}, {back} || {back}), {one}, {back} || {one})"
+    return f"CASE WHEN contains({mark}, {one}) AND NOT contains({mark}, {two}) THEN {two} || {mark} || {two} ELSE {one} || {escaped} || {one} END"
+
+
+def guide() -> str:
+    """The style guide of the posts, put together as text."""
+    body = "\n\n".join(f"## {t}\n\n{b}" for t, b in (("Length", render.LENGTH), ("Sentence construction", render.SENTENCES), ("Diction", render.DICTION), ("Punctuation", render.PUNCTUATION), ("Hard rules", render.RULES)))
+    best = top(f"SELECT * FROM ({vocabulary()}) WHERE {matches('token', P.PUNCTUATION)}", 20)
+    marks = f"SELECT string_agg({quoted('token')} || ' ' || {rounded('n / t * 1000', 2)} || '/1k', ', ' ORDER BY rank) FROM ({best}), (SELECT sum(n)::BIGINT AS t FROM ({alpha()}))"
+    digits = {"sents_per_post_mean": 2, "one_sentence_post_pct": 1, "sent_len_mean": 2, "sent_len_sd": 2, "coordinator_per_1k": 1, "subordinator_per_1k": 1, "comma_sentence_pct": 1, "mean_word_len": 2, "long_word_pct": 1, "type_token_ratio": 4}
+    values = {c: rounded(c, d) for c, d in digits.items()}
+    values["habit"] = f"CASE WHEN round(coordinator_per_1k, 1) > round(subordinator_per_1k, 1) THEN {lit(render.MORE_COORDINATION)} ELSE {lit(render.MORE_SUBORDINATION)} END"
+    values["mix"] = f"(SELECT string_agg(pos_group || ' ' || {rounded('pct', 2)} || '%', ', ' ORDER BY ord) FROM ({pos_mix()}))"
+    values["words"] = f"(SELECT string_agg(word, ', ' ORDER BY rank) FROM ({content_words(Q.EXCLUDED)}) WHERE rank < {render.SHOWN_WORDS})"
+    values |= {"marks": f"({marks})", "rules": lit(f"- {Q.RULE}")}
+    return f"SELECT {lit(Q.PERSONA + chr(10) + chr(10))} || {fill(body, **values)} || chr(10) AS guide FROM ({sentence_stats()}), ({word_stats()})"
+
+
+def full_profile(**group: str) -> str:
+    """Every figure of the full profile of each group, one row each."""
+    g = group["group"]
+    both = f"SELECT s.*, w.* EXCLUDE ({g}) FROM ({sentence_stats(**group)}) s JOIN ({word_stats(**group)}) w ON s.{g} = w.{g}"
+    totals = f"SELECT {g}, sum(n)::BIGINT AS t FROM a GROUP BY {g}"
+    place = f"row_number() OVER (PARTITION BY {g} ORDER BY %s) - 1"
+    tagged = f"SELECT {g}, n, {tag('token')} AS tag FROM v"
+    parts = [f"SELECT {g}, 'scalars' AS section, 0::BIGINT AS ord, name, value FROM (UNPIVOT (SELECT {g}, COLUMNS(* EXCLUDE ({g}))::DOUBLE FROM b) ON COLUMNS(* EXCLUDE ({g})) INTO NAME name VALUE value)"]
+    parts += [f"SELECT {g}, 'pos_mix', {i}, {lit(name)}, sum(CASE WHEN tag IN {inlist(tags)} THEN n ELSE 0 END)::BIGINT / sum(n)::BIGINT * 100 FROM ({tagged}) GROUP BY {g}" for i, (name, tags) in enumerate(POS_GROUPS.items())]
+    listed = f"list_position([{', '.join(map(lit, FUNCTION_WORDS))}], word)"
+    parts.append(f"SELECT {g}, 'function_words', {place % listed}, word, n / t * 1000 FROM a JOIN ({totals}) USING ({g}) WHERE word IN {inlist(FUNCTION_WORDS)}")
+    parts.append(f"SELECT {g}, 'punctuation', {place % 'n DESC, first'} AS ord, token, n / t * 1000 FROM v JOIN ({totals}) USING ({g}) WHERE {matches('token', P.PUNCTUATION)} QUALIFY ord < 20")
+    extra = f" AND word NOT IN {inlist([x.lower() for x in Q.EXCLUDED])}"
+    parts.append(f"SELECT {g}, 'top_content_words', {place % 'n DESC, first'} AS ord, word, n::DOUBLE FROM a WHERE word NOT IN {inlist(STOPWORDS)} AND length(word) > 2{extra} QUALIFY ord < 60")
+    return f"WITH v AS MATERIALIZED ({vocabulary(**group)}), a AS MATERIALIZED ({alpha(**group)}), b AS ({both}), p AS ({' UNION ALL '.join(parts)}) SELECT * FROM p WHERE {g} IN (SELECT {g} FROM b)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -196,6 +243,17 @@ def oracle_sql() -> dict[str, str]:
     field = lambda n: f"json_extract_string(t, '$.{n}')"
     text = f"coalesce(nullif({field('full_text')}, ''), nullif({field('text')}, ''), '')"
     quoted = "'\"' || text || CASE WHEN pos % 3 = 0 THEN '''' ELSE '\"' END"
+    records = (
+            "WITH r AS (SELECT raw_id, record::JSON AS j FROM archive_raw WHERE json_valid(record) AND json_type(record) = 'OBJECT'), "
+            "t AS (SELECT raw_id, CASE WHEN json_type(j, '$.tweet') = 'OBJECT' THEN json_extract(j, '$.tweet') ELSE j END AS t FROM r) "
+            f"SELECT raw_id, coalesce(nullif({field('id_str')}, ''), nullif({field('id')}, ''), '') AS id, {text} AS text, coalesce(nullif({field('created_at')}, ''), '') AS created_at, "
+            f"coalesce({field('in_reply_to_status_id_str')} NOT IN {falsy}, false) AS is_reply, (coalesce({field('retweeted_status')} NOT IN {falsy}, false) OR starts_with({text}, 'RT @')) AS is_retweet FROM t"
+        )
+
+    def shown(*more: str) -> str:
+        """The post's text and further strings, joined, without blank ones."""
+        return f"array_to_string(list_filter([t{''.join(', ' + lit(m) for m in more)}], lambda x: x <> ''), '|')"
+
     return {
         "clean_text": f"SELECT pos, {clean('text')} AS cleaned FROM archive_posts",
         "word_count_filter": f"SELECT pos, {n_words('text')}::BIGINT AS n_words FROM ({CLEANED}) WHERE {n_words('text')} >= 3",
@@ -226,19 +284,25 @@ def oracle_sql() -> dict[str, str]:
         "safety_matches": f"SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY cat_ord) - 1 AS ord, id AS category_id, label, weight FROM ({hits('pos', 'archive_posts')})",
         "safety_vs_labels": f"SELECT toxic, count(*) AS n, count(*) FILTER (total >= {Q.THRESHOLD}) AS n_flagged, avg(total) AS mean_total FROM ({TOTALS}) JOIN post_labels USING (pos) WHERE toxic IS NOT NULL GROUP BY toxic",
         "history_window": f"SELECT pos, history FROM ({HISTORY})",
-        "reply_prompt": f"SELECT pos, {fill(prompts.REPLY, k=_K, exemplars=_SEED_LINES, history='history', author='speaker', message='text')} AS prompt FROM ({HISTORY})",
+        "reply_prompt": REPLY_PROMPTS,
         "interject_prompt": f"SELECT pos, {fill(prompts.INTERJECT, history='history', author='speaker', message='text')} AS prompt FROM ({HISTORY})",
         "fact_prompt": f"SELECT pos, {fill(prompts.FACTS, author='handle', message='text', known='coalesce(' + lit('- ') + ' || persona, ' + lit(prompts.NONE_YET) + ')')} AS prompt FROM archive_posts JOIN accounts USING (account_id)",
-        "candidate_prompt": f"SELECT account_id, {fill(prompts.CANDIDATES, k=_K, exemplars=_SEED_LINES, n=lit('6'), context='persona')} AS prompt FROM accounts",
+        "candidate_prompt": CANDIDATE_PROMPTS,
         "strip_quotes": f"SELECT pos, CASE WHEN left(q, 1) = right(q, 1) THEN {strip('substring(q, 2, length(q) - 2)')} ELSE q END AS bare FROM (SELECT pos, {quoted} AS q FROM archive_posts WHERE text IS NOT NULL)",
+        "strip_fence": "SELECT pos, CASE pos % 3 WHEN 0 THEN NULL WHEN 1 THEN text || chr(10) ELSE text END AS bare FROM archive_posts WHERE text IS NOT NULL",
+        "seed_sample": SEEDS,
+        "parse_candidates": f"SELECT pos, CASE pos % 3 WHEN 0 THEN {shown('more', 'bare')} WHEN 1 THEN {shown()} END AS found, pos % 3 = 2 AS failed FROM (SELECT pos, {strip('text')} AS t FROM archive_posts WHERE text IS NOT NULL)",
+        "parse_facts": f"SELECT pos, CASE WHEN pos % 3 < 2 THEN {shown('known')} END AS found, pos % 3 = 2 AS failed FROM (SELECT pos, {strip('text')} AS t FROM archive_posts WHERE text IS NOT NULL)",
+        "render_guide": guide(),
+        "style_profile_full": full_profile(**lang),
+        "generate_candidates": f"SELECT account_id, length(prompt) || ' characters|more' AS candidates, NULL::VARCHAR AS error FROM ({CANDIDATE_PROMPTS})",
+        "generate_replies": f"SELECT pos, 'Sounds good after ' || length(prompt) || ' characters.' AS reply, NULL::VARCHAR AS error FROM ({REPLY_PROMPTS})",
+        "extract_facts": f"SELECT pos, 'heard ' || length(prompt) || ' characters' AS facts, NULL::VARCHAR AS error FROM ({FACT_PROMPTS})",
+        "should_interject": "SELECT pos, coalesce(contains(text, '?'), false) AS interject, NULL::VARCHAR AS error FROM archive_posts",
+        "load_archive": f"SELECT row_number() OVER (ORDER BY raw_id) - 1 AS pos, * EXCLUDE (raw_id) FROM ({records})",
         "parse_decision": f"SELECT pos, coalesce(starts_with(upper({strip('CASE WHEN pos % 3 = 0 THEN ' + lit(' interject. ') + ' || text ELSE text END')}), 'INTERJECT'), false) AS interject FROM archive_posts",
         "bullet_join": "SELECT label, array_to_string(list_transform(terms, lambda x: '- ' || x), chr(10)) AS lines FROM safety_rules",
-        "normalize_records": (
-            "WITH r AS (SELECT raw_id, record::JSON AS j FROM archive_raw WHERE json_valid(record) AND json_type(record) = 'OBJECT'), "
-            "t AS (SELECT raw_id, CASE WHEN json_type(j, '$.tweet') = 'OBJECT' THEN json_extract(j, '$.tweet') ELSE j END AS t FROM r) "
-            f"SELECT raw_id, coalesce(nullif({field('id_str')}, ''), nullif({field('id')}, ''), '') AS id, {text} AS text, coalesce(nullif({field('created_at')}, ''), '') AS created_at, "
-            f"coalesce({field('in_reply_to_status_id_str')} NOT IN {falsy}, false) AS is_reply, (coalesce({field('retweeted_status')} NOT IN {falsy}, false) OR starts_with({text}, 'RT @')) AS is_retweet FROM t"
-        ),
+        "normalize_records": records,
         "gate_stream": f"SELECT pos, total FROM ({TOTALS}) WHERE total >= {Q.THRESHOLD}",
         "flag_rates": f"SELECT date_trunc('day', ingested_at)::TIMESTAMPTZ AS start, count(*) AS n_posts, count(*) FILTER (total >= {Q.THRESHOLD}) AS n_flagged FROM archive_posts JOIN ({TOTALS}) USING (pos) GROUP BY 1",
     }

@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stylograph.functions import text as T
@@ -23,8 +23,9 @@ BANNED = ["mortgage", "budget", "tomato"]
 ON_BRAND = ["compiler", "parser", "query", "server", "database"]
 EXCLUDED = ["still", "every", "BEFORE"]
 THRESHOLD = 5.0
-#: Seed texts of the prompt queries that have SQL, which holds them as they are.
-SEEDS = ["The kettle is on again.", "Shipped a small fix before lunch."]
+PERSONA, RULE = "A measured writer.", "No made-up facts."
+#: Tasks that the posts of one account are dealt out over.
+ACCOUNT_SALTS = 16
 
 
 def _posts(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +100,7 @@ def punct_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
-    return profile.sentence_stats(_sentences(spark, d))
+    return profile.sentence_stats(profile.cleaned(_posts(spark, d)))
 
 
 def clause_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -115,8 +116,7 @@ def function_word_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def punctuation_top20(spark: SparkSession, d: str) -> DataFrame:
-    vocab = _vocabulary(spark, d)
-    return profile.punctuation_rates(vocab, profile.alpha_vocabulary(vocab)).withColumn("rank", F.col("rank").cast("bigint"))
+    return profile.punctuation_rates(_vocabulary(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def content_words_top60(spark: SparkSession, d: str) -> DataFrame:
@@ -140,6 +140,17 @@ def style_profile_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return profile.style_scalars(rows, id_col="doc_id", group=["lang"])
 
 
+def style_profile_full(spark: SparkSession, d: str) -> DataFrame:
+    """The full profile of each language, one row a figure."""
+    rows = wide_table(spark, d, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
+    found = profile.style_profiles(rows, exclude_words=EXCLUDED, id_col="doc_id", group=["lang"])
+    lists = ("pos_mix", "function_words", "punctuation", "top_content_words")
+    scalars = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in found.columns if c not in ("lang", *lists)))
+    sections = F.array(*(F.struct(F.lit(n).alias("section"), v.alias("rows")) for n, v in (("scalars", scalars), *((c, F.col(c)) for c in lists))))
+    found = found.select("lang", F.explode(sections).alias("s")).select("lang", "s.section", F.posexplode("s.rows").alias("ord", "r"))
+    return found.select("lang", "section", F.when(F.col("section") == "scalars", 0).otherwise(F.col("ord")).cast("bigint").alias("ord"), "r.name", "r.value")
+
+
 def _categories(spark: SparkSession, d: str) -> list[safety.SafetyCategory]:
     return safety.load_categories(spark, table(spark, d, "safety_rules"))
 
@@ -170,15 +181,22 @@ def safety_vs_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if(flagged).alias("n_flagged"), F.avg("total").alias("mean_total"))
 
 
+def _of_account(posts: DataFrame, people: DataFrame, how: str = "left") -> DataFrame:
+    """Posts with what is known of their account. One account holds a tenth of the posts: they are dealt out over salts, to each of which every account goes."""
+    salted = posts.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(ACCOUNT_SALTS)).cast("int"))
+    every = people.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ACCOUNT_SALTS - 1))))
+    return salted.join(every, ["account_id", "_salt"], how).drop("_salt")
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     """Posts as turns: a conversation is what one account wrote on one day."""
     posts = _posts(spark, d).select("pos", "account_id", F.to_date("ingested_at").alias("day"), F.coalesce("text", F.lit("")).alias("text"))
     people = table(spark, d, "accounts").select("account_id", F.coalesce("handle", F.lit("")).alias("speaker"))
-    return posts.join(people, "account_id", "left").withColumn("speaker", F.coalesce("speaker", F.lit("")))
+    return _of_account(posts, people).withColumn("speaker", F.coalesce("speaker", F.lit("")))
 
 
 def _with_history(spark: SparkSession, d: str) -> DataFrame:
-    return prompts.with_history(_turns(spark, d), ["account_id", "day"], "pos", turns=5)
+    return prompts.with_history(_turns(spark, d), ["account_id", "day"], "pos")
 
 
 def history_window(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +204,7 @@ def history_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reply_prompt(spark: SparkSession, d: str) -> DataFrame:
-    return _with_history(spark, d).select("pos", prompts.reply_prompt(F.col("text"), F.col("speaker"), F.col("history"), SEEDS).alias("prompt"))
+    return _with_history(spark, d).select("pos", prompts.reply_prompt(F.col("text"), F.col("speaker"), F.col("history"), _seeds(spark, d)).alias("prompt"))
 
 
 def interject_prompt(spark: SparkSession, d: str) -> DataFrame:
@@ -196,12 +214,12 @@ def interject_prompt(spark: SparkSession, d: str) -> DataFrame:
 def fact_prompt(spark: SparkSession, d: str) -> DataFrame:
     people = table(spark, d, "accounts").select("account_id", F.coalesce("handle", F.lit("")).alias("author"), F.filter(F.array("persona"), lambda x: x.isNotNull()).alias("known"))
     posts = _posts(spark, d).select("pos", "account_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = posts.join(people, "account_id")
+    rows = _of_account(posts, people, "inner")
     return rows.select("pos", prompts.facts_prompt(F.col("text"), F.col("author"), F.col("known")).alias("prompt"))
 
 
 def candidate_prompt(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "accounts").select("account_id", prompts.candidates_prompt(F.coalesce("persona", F.lit("")), SEEDS, 6).alias("prompt"))
+    return table(spark, d, "accounts").select("account_id", prompts.candidates_prompt(F.coalesce("persona", F.lit("")), _seeds(spark, d), 6).alias("prompt"))
 
 
 def strip_quotes(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +227,34 @@ def strip_quotes(spark: SparkSession, d: str) -> DataFrame:
     return _posts(spark, d).where("text IS NOT NULL").select("pos", T.strip_quotes(quoted).alias("bare"))
 
 
+def strip_fence(spark: SparkSession, d: str) -> DataFrame:
+    fence = F.when(F.col("pos") % 3 == 0, F.lit("```")).otherwise(F.when(F.col("pos") % 3 == 1, F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n``` done"))).otherwise(F.col("text")))
+    return _posts(spark, d).where("text IS NOT NULL").select("pos", T.strip_fence(fence).alias("bare"))
+
+
+def seed_sample(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.seed_rows(table(spark, d, "exemplars")).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _parsed(spark: SparkSession, d: str, answer: Column, parse: Callable[[Column], Column]) -> DataFrame:
+    rows = _posts(spark, d).where("text IS NOT NULL").select("pos", parse(answer).alias("p"))
+    return rows.select("pos", F.array_join("p.values", "|").alias("found"), F.col("p.error").isNotNull().alias("failed"))
+
+
+def parse_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays and a bare value one after another, or an array in a fence, or one with a tail, around each post."""
+    one = F.to_json(F.array("text", F.lit(" ")))
+    answer = F.when(F.col("pos") % 3 == 0, F.concat(one, F.lit('\n\n["more", 3] "bare"'))).when(F.col("pos") % 3 == 1, F.concat(F.lit("```json\n"), one, F.lit("\n```"))).otherwise(F.concat(one, F.lit("tail")))
+    return _parsed(spark, d, answer, model.parse_candidates)
+
+
+def parse_facts(spark: SparkSession, d: str) -> DataFrame:
+    """One array around each post, bare or in a fence, or something that is none."""
+    one = F.to_json(F.array("text", F.lit("known"), F.lit("")))
+    answer = F.when(F.col("pos") % 3 == 0, one).when(F.col("pos") % 3 == 1, F.concat(F.lit("```\n"), one, F.lit("\n```"))).otherwise(F.lit('{"a": ["b"]}'))
+    return _parsed(spark, d, answer, model.parse_facts)
+
+
 def parse_decision(spark: SparkSession, d: str) -> DataFrame:
     answer = F.when(F.col("pos") % 3 == 0, F.concat(F.lit(" interject. "), F.col("text"))).otherwise(F.col("text"))
     return _posts(spark, d).select("pos", T.decision(answer).alias("interject"))
@@ -220,7 +266,7 @@ def bullet_join(spark: SparkSession, d: str) -> DataFrame:
 
 def render_guide(spark: SparkSession, d: str) -> DataFrame:
     measured = profile.collect_profile(_posts(spark, d), exclude_words=EXCLUDED)
-    return spark.createDataFrame([(render_style_guide(measured, "A measured writer.", ["No made-up facts."]),)], "guide string")
+    return spark.createDataFrame([(render_style_guide(measured, PERSONA, [RULE]),)], "guide string")
 
 
 def _parsing(spark: SparkSession, d: str) -> DataFrame:
@@ -249,10 +295,14 @@ def normalize_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answer(system: str, prompt: str) -> str:
-    """The fake model: a reply in quotes, JSON for list prompts, a word for decisions."""
-    if "JSON array" in prompt:
-        return json.dumps([f"{len(prompt)} characters", " ", 3]) + '\n["more"]' if "candidates" in prompt else json.dumps(["likes tea", ""])
-    return ("INTERJECT" if "?" in prompt.split("<message>")[-1].split("</message>")[0] else "SILENT") if "INTERJECT" in prompt else '"Sounds good."'
+    """The fake model: JSON with the prompt's length for list prompts, a reply in quotes, a word for decisions."""
+    if prompt.startswith("Task: propose"):
+        return json.dumps([f"{len(prompt)} characters", " ", 3]) + '\n["more"]'
+    if prompt.startswith("Notes on"):
+        return json.dumps([f"heard {len(prompt)} characters", ""])
+    if prompt.startswith("Earlier turns"):
+        return "INTERJECT" if "?" in prompt.split("<message>")[-1].split("</message>")[0] else "SILENT"
+    return f'"Sounds good after {len(prompt)} characters."'
 
 
 def _seeds(spark: SparkSession, d: str) -> list[str]:
@@ -261,16 +311,17 @@ def _seeds(spark: SparkSession, d: str) -> list[str]:
 
 def generate_candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "accounts").select("account_id", F.coalesce("persona", F.lit("")).alias("context"))
-    return model.generate_candidates(rows, model.fake_client(_answer), "guide", _seeds(spark, d)).select("account_id", "candidates", "error")
+    found = model.generate_candidates(rows, model.fake_client(_answer), "guide", table(spark, d, "exemplars"))
+    return found.select("account_id", F.array_join("candidates", "|").alias("candidates"), "error")
 
 
 def generate_replies(spark: SparkSession, d: str) -> DataFrame:
-    return model.generate_replies(_with_history(spark, d), model.fake_client(_answer), "guide", _seeds(spark, d)).select("pos", "reply", "error")
+    return model.generate_replies(_with_history(spark, d), model.fake_client(_answer), "guide", table(spark, d, "exemplars")).select("pos", "reply", "error")
 
 
 def extract_facts(spark: SparkSession, d: str) -> DataFrame:
     rows = _turns(spark, d).withColumn("known", F.array().cast("array<string>"))
-    return model.extract_facts(rows, model.fake_client(_answer)).select("pos", "facts", "error")
+    return model.extract_facts(rows, model.fake_client(_answer)).select("pos", F.array_join("facts", "|").alias("facts"), "error")
 
 
 def should_interject(spark: SparkSession, d: str) -> DataFrame:
@@ -303,8 +354,8 @@ def flag_rates(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         curate_top_n, clean_text, word_count_filter, own_posts, own_posts_with_replies, dedup_first, exemplar_filter, exemplar_score, curate_documents, sentence_split, tokenize, alpha_words, punct_tokens,
-        sentence_stats, clause_rates, word_shape, function_word_rates, punctuation_top20, content_words_top60, content_words_top60_excluded, pos_mix, style_profile, style_profile_by_lang,
-        load_categories, safety_score, safety_flagged, safety_matches, safety_vs_labels, history_window, reply_prompt, interject_prompt, fact_prompt, candidate_prompt, strip_quotes, parse_decision,
-        bullet_join, render_guide, load_archive, normalize_records, generate_candidates, generate_replies, extract_facts, should_interject, gate_stream, flag_rates,
+        sentence_stats, clause_rates, word_shape, function_word_rates, punctuation_top20, content_words_top60, content_words_top60_excluded, pos_mix, style_profile, style_profile_by_lang, style_profile_full,
+        load_categories, safety_score, safety_flagged, safety_matches, safety_vs_labels, history_window, reply_prompt, interject_prompt, fact_prompt, candidate_prompt, strip_quotes, strip_fence, parse_decision,
+        parse_candidates, parse_facts, seed_sample, bullet_join, render_guide, load_archive, normalize_records, generate_candidates, generate_replies, extract_facts, should_interject, gate_stream, flag_rates,
     )
     return {f.__name__: f for f in every}

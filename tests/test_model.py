@@ -50,6 +50,42 @@ def test_key_and_body():
     assert M.interject_body() == {"temperature": 0, "max_tokens": 8} and M.interject_body({"max_tokens": 3})["max_tokens"] == 3
 
 
+def test_the_key_is_checked_before_a_job(spark):
+    client = M.http_client(M.Request("m", "http://localhost:1", api_key_env="NO_SUCH_KEY_HERE"))
+    rows = spark.createDataFrame([("c", "a", "t", "h", ["k"])], "context string, speaker string, text string, history string, known array<string>")
+    for start in (lambda: M.generate_candidates(rows, client, "g", ["x"]), lambda: M.generate_replies(rows, client, "g", ["x"]), lambda: M.extract_facts(rows, client)):
+        with pytest.raises(M.GenerationError, match="no API key"):
+            start()
+    assert "no API key" in M.should_interject(rows, client).first().error
+
+
+def test_a_decision_sends_its_own_fields(spark):
+    talk = spark.createDataFrame([("Ann", "hello?", "(none yet)")], "speaker string, text string, history string")
+
+    def sent(system, prompt, fields):
+        return "INTERJECT" if fields == {"temperature": 0, "max_tokens": 8} else "SILENT"
+
+    assert M.should_interject(talk, lambda: sent).first().interject is True
+    clients = M.http_client(M.Request("m", "u", extra_body={"max_tokens": 3, "provider": {}}))
+    body = clients.body("s", "p", M.interject_body())
+    assert body["temperature"] == 0 and body["max_tokens"] == 3 and body["provider"] == {} and body["model"] == "m" and [m["content"] for m in body["messages"]] == ["s", "p"]
+
+
+def test_seeds_are_drawn_by_the_stage(spark):
+    pool = [f"text {i}" for i in range(50)]
+    context = spark.createDataFrame([("c",)], "context string")
+    echo = M.fake_client(lambda s, p: json.dumps([line for line in p.splitlines() if line.startswith("- text")]))
+    got = [M.generate_candidates(context, echo, "g", x, seed_count=7).first().candidates for x in (pool, spark.createDataFrame([(t,) for t in pool], "text string"))]
+    assert got[0] == got[1] and len(set(got[0])) == 7
+    assert M.generate_candidates(context, echo, "g", pool, seed_count=7, seed=1).first().candidates != got[0]
+
+
+def test_all_earlier_turns_are_history(spark):
+    rows = spark.range(60).selectExpr("id", "1 AS conv", "'A' AS speaker", "concat('t', id) AS text")
+    last = P.with_history(rows, ["conv"], "id").orderBy("id").collect()[-1].history
+    assert last.splitlines() == [f"- A: t{i}" for i in range(59)]
+
+
 def test_prompts(spark):
     rows = spark.createDataFrame([("c", 1, "Ann", "one"), ("c", 2, "Bo", "two"), ("c", 3, None, "three"), ("d", 1, "Cy", None)], "conv string, turn int, speaker string, text string")
     got = {(r.conv, r.turn): r.history for r in P.with_history(rows, ["conv"], "turn", turns=2).collect()}
@@ -71,7 +107,7 @@ def test_cli(spark, tmp_path, capsys):
     out = str(tmp_path / "voice.json")
     args = cli.build_parser().parse_args(["analyze", str(tmp_path), "--out", out, "--persona", "P", "--rules", "r1"])
     args.run(spark, args)
-    assert "8 posts analyzed, 8 exemplars" in capsys.readouterr().out
+    assert "style of 8 posts, 8 exemplars" in capsys.readouterr().out
     args = cli.build_parser().parse_args(["generate", out, "--context", "c", "--model", "m", "--base-url", "http://localhost:1"])
     cli.generate(spark, args, M.fake_client(lambda s, p: '["four"]'))
     assert capsys.readouterr().out == "[  4c] four\n"
