@@ -82,3 +82,58 @@ def test_hot_passage_empty_and_clashes(spark, monkeypatch):
     got = sorted(map(tuple, S.shared_spans(frame(spark, docs).withColumns({"place": F.lit(1), "prefix": F.lit("x")}), 30, 8).collect()))
     assert got == brute(docs, 30)
     assert S.shared_spans(frame(spark, []), 30).count() == 0
+
+
+def rotated(word, n, at=0):
+    return (word * (n // len(word) + 2))[at : at + n]
+
+
+@pytest.mark.parametrize("in_tree", [20_000, 2])
+@pytest.mark.parametrize("seed", range(3))
+def test_periodic_texts(spark, seed, in_tree):
+    """Runs of one character and of short periods, of different lengths, phases and surroundings."""
+    r = random.Random(seed)
+    words = ["a", "ab", "abc", "abcdefg", "abcabd", "xyzxyzw"]
+    piece = lambda: rotated(r.choice(words), r.randint(1, 90), r.randint(0, 6))
+    docs = [(i, "".join(r.choice([piece(), piece(), "".join(r.choice("pqrst") for _ in range(r.randint(1, 25)))]) for _ in range(r.randint(1, 7)))) for i in range(24)]
+    assert sorted(map(tuple, S.shared_spans(frame(spark, docs), 24, in_tree).collect())) == brute(docs, 24)
+
+
+@pytest.mark.parametrize("word", ["a", "ab", "abcdef", "abcdefghijklmnopqrstuvwxy" * 2, "0123456789" * 7])
+def test_few_suffixes_are_chosen(word):
+    import numpy as np
+
+    text = rotated(word, 60_000)
+    places, _ = S.chosen(S._codes(text), np.array([len(text)]), 200)
+    assert 1 <= len(places) <= len(text) / 25
+
+
+def test_random_trees():
+    """The ranges of a tree are those of comparing every span."""
+    for seed in range(200):
+        r = random.Random(seed)
+        length = 8
+        texts, lefts, low, high = [], [], [], []
+        for _ in range(r.randint(2, 9)):
+            x = r.randint(0, 4)
+            texts.append("".join(r.choice("ab") for _ in range(x)) + "aabb" + "".join(r.choice("ab") for _ in range(r.randint(max(0, 4 - x), 4))))
+            lefts.append(x)
+            low.append(r.randint(1, 3))
+            high.append(low[-1] if r.random() < 0.8 else low[-1] + 1)
+        least = r.choice([0, 4, 6, 8])
+        got = S.subtree_repeats(texts, lefts, low, high, length, least)
+        if all(a < b for a, b in zip(low, high)):
+            continue
+        for i, t in enumerate(texts):
+            want = set()
+            for at in range(lefts[i] + 1):
+                if at + length > len(t) or at + length - lefts[i] < least:
+                    continue
+                docs = set()
+                for j, u in enumerate(texts):
+                    other = lefts[j] - (lefts[i] - at)
+                    if other >= 0 and u[other : other + length] == t[at : at + length]:
+                        docs |= {low[j], high[j]}
+                if len(docs) > 1:
+                    want.add(at)
+            assert {x for a, b in got[i] for x in range(a, b + 1)} == want, (seed, i)
