@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stylograph.functions.canon import digest, letters_and_digits
-from stylograph.plans.scale import cut, hot_keys
+from stylograph.plans.scale import cut, hot_keys, split_hot
 
 SALTS = 64
 #: Fields that identify a raw record besides its text.
@@ -61,20 +61,23 @@ def group_copies(keyed: DataFrame) -> DataFrame:
     """(tbl, rec_id, keep_id, n_copies) of each row of `keyed` (tbl, rec_id, key).
 
     Exact partial counts find the hot keys; these are aggregated in two levels, by salt and then by key, and
-    their few results broadcast; all other keys take one shuffle. The kept identifier is the smallest.
+    their results go back to each salt; all other keys take one shuffle. The kept identifier is the smallest.
     """
     keyed = cut(keyed.select("tbl", "rec_id", "key"))
     counts = keyed.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n"))
     hot = cut(hot_keys(counts, ["tbl", "key"], keyed.count()))
+    any_hot = bool(hot.limit(1).count())
+    warm, cold = split_hot(keyed, hot, ["tbl", "key"]) if any_hot else (None, keyed)
     group = Window.partitionBy("tbl", "key")
-    cold = keyed.join(F.broadcast(hot), ["tbl", "key"], "left_anti")
     cold = cold.select("tbl", "rec_id", F.min("rec_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("n_copies"))
-    if not hot.limit(1).count():
+    if not any_hot:
         return cold
-    warm = keyed.join(F.broadcast(hot), ["tbl", "key"], "left_semi")
-    salted = warm.groupBy("tbl", "key", F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)).alias("salt")).agg(F.min("rec_id").alias("m"), F.count(F.lit(1)).alias("c"))
+    on = ["tbl", "key", "salt"]
+    warm = warm.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)).cast("int"))
+    salted = warm.groupBy(*on).agg(F.min("rec_id").alias("m"), F.count(F.lit(1)).alias("c"))
     kept = salted.groupBy("tbl", "key").agg(F.min("m").alias("keep_id"), F.sum("c").alias("n_copies"))
-    return cold.unionByName(warm.join(F.broadcast(kept), ["tbl", "key"]).select("tbl", "rec_id", "keep_id", "n_copies"))
+    kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return cold.unionByName(warm.join(kept, on).select("tbl", "rec_id", "keep_id", "n_copies"))
 
 
 def copies(keyed: DataFrame) -> DataFrame:

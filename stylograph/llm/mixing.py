@@ -14,6 +14,11 @@ would exceed the budget ends the mix. Equal finish times are ordered by source,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,7 +44,7 @@ def mix(docs: DataFrame, targets: DataFrame, n_tokens: Column, budget: int | Non
 
     `docs` has doc_id and source; `n_tokens` is its size column.
     """
-    sized = docs.select("doc_id", clean_source(F.col("source")).alias("source"), n_tokens.cast("bigint").alias("n_tokens"))
+    sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_source(F.col("source")).alias("source"), n_tokens.cast("bigint").alias("n_tokens"))
     target = _targets(targets)
     sized = sized.where("n_tokens > 0 AND source IS NOT NULL AND doc_id IS NOT NULL").join(F.broadcast(target.select("source")), "source", "left_semi")
     sized = cut(sized.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("s")).select("doc_id", "s.source", "s.n_tokens"))
@@ -62,13 +67,35 @@ def mix(docs: DataFrame, targets: DataFrame, n_tokens: Column, budget: int | Non
     longest = sized.agg(F.max("n_tokens")).first()[0] or 0
     uses = uses.where(F.col("finish") <= F.lit(float(budget + longest * max(1, len(totals)))))
 
-    # finish times are spread evenly over the mix, so equal ranges of them are about equal slices
-    steps = max(1, int(n * max((r.repeats for r in totals), default=1)) // SLICE_ROWS)
-    uses = uses.select("doc_id", "source", "use", "n_tokens", "finish", F.floor(F.col("finish") / F.lit(max(1.0, budget / steps))).alias("_range"), F.lit(1).alias("_one"))
-    uses = cut(uses.repartitionByRange("_range", "finish"))
+    # one range shuffle orders the uses over all tasks; each task then adds up its own, from the sums of the tasks before it
+    tasks = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * max((r.repeats for r in totals), default=1) // SLICE_ROWS))
     order = ["finish", "source", "doc_id", "use"]
-    placed = running_sums(uses, {"n_tokens": "_sum", "_one": "place"}, [], "_range", order)
-    return placed.where(F.col("_sum") <= F.lit(budget)).select(F.col("place").cast("bigint").alias("place"), "doc_id", "source", "use", "n_tokens", "finish")
+    uses = uses.select("doc_id", "source", "use", "n_tokens", "finish").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    placed = cut(uses)
+    before: dict[int, tuple[int, int]] = {}
+    tokens = rows = 0
+    for r in placed.groupBy(F.spark_partition_id().alias("task")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("c")).orderBy("task").collect():  # a row a task
+        before[r.task] = (tokens, rows)
+        tokens, rows = tokens + r.t, rows + r.c
+    return placed.mapInArrow(_placed(before, budget), "place bigint, doc_id bigint, source string, use int, n_tokens bigint, finish double")
+
+
+def _placed(before: dict[int, tuple[int, int]], budget: int):
+    """Rows in their order with their place, up to the budget; `before`: tokens and rows before each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, rows = before.get(TaskContext.get().partitionId(), (0, 0))
+        for batch in batches:
+            done = tokens + np.cumsum(batch.column("n_tokens").to_numpy())
+            keep = int(np.searchsorted(done, budget, side="right"))
+            places = pa.array(rows + 1 + np.arange(keep, dtype=np.int64))
+            kept = batch.slice(0, keep)
+            yield pa.RecordBatch.from_arrays([places, *(kept.column(c) for c in ("doc_id", "source", "use", "n_tokens", "finish"))], names=["place", "doc_id", "source", "use", "n_tokens", "finish"])
+            if keep < batch.num_rows:
+                return
+            tokens, rows = int(done[-1]) if len(done) else tokens, rows + batch.num_rows
+
+    return run
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -48,3 +48,12 @@ def test_budget_and_odd_rows(spark):
     assert mixing.mix(docs, targets.limit(0), F.col("size")).count() == 0
     assert mixing.mix(docs, targets, F.lit(0)).count() == 0
     assert mixing.shares(mixing.mix(docs.limit(0), targets, F.col("size")), targets).agg(F.sum("tokens")).first()[0] == 0
+
+
+def test_the_mix_is_in_order_over_its_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 50)
+    docs, targets = frames(spark)
+    rows = mixing.mix(docs, targets, F.col("size")).collect()
+    assert [r.place for r in rows] == list(range(1, len(rows) + 1))
+    half = mixing.mix(docs, targets, F.col("size"), budget=500).collect()
+    assert half == rows[: len(half)] and sum(r.n_tokens for r in half) <= 500 < sum(r.n_tokens for r in rows[: len(half) + 1])
