@@ -3,7 +3,8 @@
 The field's features are shapes, affixes and list memberships of a token and its neighbours; it is trained by gradient ascent of
 the likelihood from a small labelled table (`pii_examples`) and decoded by Viterbi over batches of texts in
 numpy. Found spans are checked for what their kind must hold (digits, an at sign, two parts of a name), then
-reported or replaced by typed placeholders.
+reported or replaced by typed placeholders. The weights are kept beside this module (`python -m stylograph.llm.pii` fits them anew);
+the lists of known names are those of the data, and only mark tokens for the field.
 
 Defined results: null, empty and blank texts hold nothing and stay as they are; each different piece of a record
 comes once; repeated rows give the same pieces once; texts are read whole, whatever their length; rows with a null identifier
@@ -13,6 +14,7 @@ are left out of the pieces; further columns are kept by `redact` and not read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograph.llm.pii_examples import labelled_table
+from stylograph.llm.pii_examples import labelled_table, people
 from stylograph.sources.tables import small_rows
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -31,10 +33,13 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 MOST_NAMES = 100_000
 NEAR = (-2, -1, 0, 1, 2)
 FAR = (-5, -4, -3, 3, 4, 5)
+#: Windows of which the classes of all tokens together are a feature, and the number of classes.
+WINDOWS = ((-2, -1, 0), (-1, 0, 1), (0, 1, 2), (-1, 0, 1, 2))
+CLASSES = 26
+SIGNS = {".": 14, ",": 15, "@": 16, "-": 17, "/": 18, "(": 19, ")": 20, "+": 21, ":": 22, "'": 23, "’": 23}
 
 _SPACE = r"\s​﻿⁠"
 _TOKEN = re.compile(rf"[^\W\d_]+|\d+|[^{_SPACE}]")
-_POST_NOMINAL = re.compile(r"['’]s?\Z")
 
 
 def tokenize(text: str) -> list[tuple[int, int]]:
@@ -85,6 +90,21 @@ class Features:
             out += ["w=" + token, gap + token]
         return out
 
+    def token_class(self, key: str) -> int:
+        """One of CLASSES - 1 kinds of tokens, from 1."""
+        token = key[2:]
+        low = token.lower()
+        if token[0].isdigit():
+            return 10 + min(3, (len(token) > 2) + (len(token) > 4) + (len(token) > 8))
+        if not token.isalpha():
+            return SIGNS.get(token, 24)
+        known = 1 if low in self.given else 2 if low in self.family else 0
+        if len(token) == 1 and token.isupper():
+            return 9
+        if token[0].isupper():  # 3 unknown, 4 and 5 known, 6 a common word, 25 in capitals
+            return 3 + known if known else 25 if token.isupper() else 6 if low in self.vocabulary else 3
+        return 6 + known if known else 1 if low in self.vocabulary else 2
+
     def fine(self, key: str) -> list[str]:
         token = key[2:]
         out = self.coarse(key)
@@ -100,9 +120,10 @@ class Features:
 class Field:
     """The conditional random field: weights by feature and offset, and transitions."""
 
-    def __init__(self, features: Features, names: dict[str, int], near: np.ndarray, far: np.ndarray, transitions: np.ndarray):
-        self.features, self.names, self.near, self.far, self.transitions = features, names, near, far, transitions
+    def __init__(self, features: Features, names: dict[str, int], near: np.ndarray, far: np.ndarray, windows: list[np.ndarray], transitions: np.ndarray):
+        self.features, self.names, self.near, self.far, self.windows, self.transitions = features, names, near, far, windows, transitions
         self._rows: dict[str, int] = {}
+        self._class = np.zeros(1024, np.int64)
         self._store = np.zeros((1024, len(NEAR) + len(FAR), len(LABELS)), np.float32)
 
     def _row(self, key: str) -> int:
@@ -113,6 +134,8 @@ class Field:
             row = self._rows[key] = len(self._rows) + 1  # row 0 is beyond a text
             if row >= len(self._store):
                 self._store = np.concatenate([self._store, np.zeros_like(self._store)])
+                self._class = np.concatenate([self._class, np.zeros_like(self._class)])
+            self._class[row] = self.features.token_class(key)
             fine = [self.names[f] for f in self.features.fine(key) if f in self.names]
             coarse = [self.names[f] for f in self.features.coarse(key) if f in self.names]
             self._store[row, : len(NEAR)] = self.near[:, fine].sum(1)
@@ -128,6 +151,8 @@ class Field:
         out = np.zeros((n, width, len(LABELS)), np.float32)
         for i, offset in enumerate((*NEAR, *FAR)):
             out += self._store[padded[:, reach + offset : reach + offset + width], i]
+        for weights, ids in zip(self.windows, window_ids(self._class[padded], reach, width)):
+            out += weights[ids]
         return out
 
     def decode(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -161,10 +186,21 @@ class Field:
             keys.append(row)
         found = []
         for text, spans, labels in zip(texts, tokens, self.decode(keys)):
-            found.append([p for piece in _pieces(spans, labels) for p in _checked(text, *piece)] if labels.any() else [])
+            found.append([p for p in (_checked(text, *piece) for piece in _pieces(spans, labels)) if p] if labels.any() else [])
         return found
 
 
+def window_ids(classes: np.ndarray, reach: int, width: int) -> list[np.ndarray]:
+    """For each of WINDOWS the number of the classes in it, for each token; `classes` has `reach` columns more at both ends."""
+    out = []
+    for window in WINDOWS:
+        ids = np.zeros((len(classes), width), np.int64)
+        for offset in window:
+            ids = ids * CLASSES + classes[:, reach + offset : reach + offset + width]
+        out.append(ids)
+    return out
+
+
 def _pieces(spans: list[tuple[int, int]], labels: np.ndarray) -> Iterator[tuple[int, int, str]]:
     at = 0
     while at < len(labels):
@@ -180,41 +216,32 @@ def _pieces(spans: list[tuple[int, int]], labels: np.ndarray) -> Iterator[tuple[
 
 
 _PART = re.compile(r"[^\W\d_]+")
-_AT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
-_DOT = r"(?:\s?\.\s?|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
-_MORE = re.compile(r"[-.‑ ](\d{2,4})(?!\w)")
-_PHONE = re.compile(r"[+(\d][\d\s().‑–/-]*(?:(?:ext\.?|extension|x)\s?\d+)?", re.I)
-_LOWER_FIRST = re.compile(r"[a-zß-öø-ÿ]+[\s,.:]+")
-_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
-_EMAIL = re.compile(rf"[\w.+%-]*\w{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+_POST_NOMINAL = re.compile(r"['’]s?\Z")
+_PHONE = re.compile(r"[+(\d][\d\s().‑–/-]*(?:,?\s*(?:ext\.?|extension|x)\s?\d+)?", re.I)
+_AT = re.compile(r"@|\bat\b", re.I)
 
 
-def _checked(text: str, start: int, end: int, kind: str) -> list[tuple[int, int, str]]:
-    """The piece without punctuation at its ends, if it holds what its kind must; e-mail addresses that came out as one are parted."""
+def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
+    """The piece without signs at its ends, if it holds what its kind must."""
     while start < end and not text[start].isalnum() and not (kind == "phone" and text[start] in "(+"):
         start += 1
     while end > start and not text[end - 1].isalnum():
         end -= 1
     piece = text[start:end]
+    if kind != "address" and re.search(r"[\t\n]|  ", piece):
+        return None  # no more than one space parts a piece, but for lines of an address
     digits = sum(c.isdigit() for c in piece)
-    while kind == "phone" and digits < (13 if piece.startswith("00") else 10) and (m := _MORE.match(text, end)):
-        end = m.end()
-        piece, digits = text[start:end], digits + len(m[1])
-    if kind in ("phone", "id_number") and (start and (text[start - 1].isalnum() or text[start - 1] in "/_#@=") or end < len(text) and text[end].isalnum() or "  " in piece or _DATE.fullmatch(piece)):
-        return []
-    if kind == "email":
-        return [(start + m.start(), start + m.end(), kind) for m in _EMAIL.finditer(piece)]
-    if "\n" in piece and kind != "address" or "\t" in piece:
-        return []
+    parts = _PART.findall(_POST_NOMINAL.sub("", piece))
     if kind == "name":
-        while (m := _LOWER_FIRST.match(piece)) and not piece.islower():  # a name does not start in lower case, unless all of it is
-            start, piece = start + m.end(), piece[m.end() :]
-        parts = _PART.findall(_POST_NOMINAL.sub("", piece))
-        mixed = any(p.islower() and len(p) == 1 for p in parts) and not piece.islower()
-        ok = not mixed and bool(re.search(r"[\s,]", piece)) and 2 <= len(parts) <= 6 and max(map(len, parts)) >= 2 and not digits
+        ok = len(parts) >= 2 and max(map(len, parts)) >= 2 and not digits and bool(re.search(r"[\s,.]", piece))
+    elif kind == "address":
+        ok = digits >= 1 and bool(parts)
+    elif kind == "email":
+        ok = bool(_AT.search(piece)) and len(parts) >= 2
     else:
-        ok = {"phone": 8 <= digits <= 19 and bool(_PHONE.fullmatch(piece)), "id_number": digits >= 6 and len(piece) <= 24 and not re.search(r"[;,%|#]", piece), "address": digits >= 1 and len(piece) <= 80 and any(c.isalpha() for c in piece)}[kind]
-    return [(start, end, kind)] if ok else []
+        whole = not (start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum())
+        ok = whole and (digits >= 8 and bool(_PHONE.fullmatch(piece)) if kind == "phone" else digits >= 6)
+    return (start, end, kind) if ok else None
 
 
 def viterbi(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -273,20 +300,19 @@ class _Sparse:
         return out
 
 
-def train(names: list[tuple[str, str]], rounds: int = 60, rows: int = 4200, seed: int = 5, l2: float = 2e-6) -> Field:
+def train(rounds: int = 160, rows: int = 20000, seed: int = 5, l2: float = 2e-6) -> Field:
     """Fit the field to the labelled table by full-batch gradient ascent (Adam) of the mean log-likelihood.
 
-    `names`: (token, kind). Half of the names are hidden from the lists while training, so that the field learns to do without them.
+    Half of the table's names are hidden from its lists of known names, so that the field learns to do without them.
     """
-    given = sorted({t.strip() for t, k in names if t and t.strip() and k == "given"})
-    family = sorted({t.strip() for t, k in names if t and t.strip() and k == "family"})
-    table = labelled_table([g.title() if g.isupper() else g for g in given], family, rows, seed)
+    given, family = people(seed)
+    table = labelled_table(given, family, rows, seed)
     rng = np.random.default_rng(seed)
     parts = lambda words: {p.lower() for w in words for p in _PART.findall(w)}
     seen = lambda words: [w for w in words if rng.random() < 0.5]
     all_texts, gold = [], []
     words: dict[str, int] = {}
-    people = parts(given) | parts(family)
+    names = parts(given) | parts(family)
     for text, spans in table:
         tokens, last, keys, labels = tokenize(text), 0, [], []
         for a, b in tokens:
@@ -301,7 +327,7 @@ def train(names: list[tuple[str, str]], rounds: int = 60, rows: int = 4200, seed
             labels.append(label)
         all_texts.append(keys)
         gold.append(labels)
-    vocabulary = {w for w, n in words.items() if n >= 8 and w not in people}
+    vocabulary = {w for w, n in words.items() if n >= 8 and w not in names}
     hidden = Features(parts(seen(given)), parts(seen(family)), vocabulary)
     keys = sorted({k for t in all_texts for k in t})
     fine, coarse = [hidden.fine(k) for k in keys], [hidden.coarse(k) for k in keys]
@@ -326,6 +352,8 @@ def train(names: list[tuple[str, str]], rounds: int = 60, rows: int = 4200, seed
     total = float(lengths.sum())
     k = len(LABELS)
     params = [np.zeros((len(NEAR), m, k), np.float32), np.zeros((len(FAR), m, k), np.float32), np.zeros((k, k), np.float32)]
+    params += [np.zeros((CLASSES ** len(w), k), np.float32) for w in WINDOWS]
+    class_of = np.array([0, *map(hidden.token_class, keys)])
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     bans = _allowed()
@@ -337,6 +365,7 @@ def train(names: list[tuple[str, str]], rounds: int = 60, rows: int = 4200, seed
         by_key[len(NEAR) :, 1:] = sparse[1].sums(params[1])
         d_key = np.zeros_like(by_key)
         d_trans = np.zeros((k, k), np.float32)
+        d_windows = [np.zeros_like(p) for p in params[3:]]
         np.clip(params[2], -6.0, 6.0, out=params[2])
         move = np.exp(params[2] + bans)
         for ids, y, mask in batches:
@@ -346,6 +375,9 @@ def train(names: list[tuple[str, str]], rounds: int = 60, rows: int = 4200, seed
             e = np.zeros((n, width, k), np.float32)
             for i, offset in enumerate((*NEAR, *FAR)):
                 e += by_key[i][padded[:, reach + offset : reach + offset + width]]
+            in_windows = window_ids(class_of[padded], reach, width)
+            for weights, at in zip(params[3:], in_windows):
+                e += weights[at]
             e = np.exp(np.maximum(e - e.max(2, keepdims=True), -25.0))
             e[~mask] = 1.0
             alpha, beta = np.empty_like(e), np.empty_like(e)
@@ -370,31 +402,63 @@ def train(names: list[tuple[str, str]], rounds: int = 60, rows: int = 4200, seed
                 flat = d.reshape(-1, k)
                 for label in range(k):
                     d_key[i, :, label] += np.bincount(where, flat[:, label], minlength=len(keys) + 1)
+            for grad, at in zip(d_windows, in_windows):
+                where = at.reshape(-1)
+                for label in range(k):
+                    grad[:, label] += np.bincount(where, flat[:, label], minlength=len(grad))
             both = mask[:, 1:]
             left, right = alpha[:, :-1][both], (e * beta)[:, 1:][both]
             weight = 1.0 / np.maximum(np.einsum("ni,ij,nj->n", left, move, right, optimize=True), 1e-30)
             d_trans -= move * ((left * weight[:, None]).T @ right)
             np.add.at(d_trans, (y[:, :-1][both], y[:, 1:][both]), 1.0)
         d_key[:, 0] = 0
-        grads = [sparse[0].spread(d_key[: len(NEAR), 1:]), sparse[1].spread(d_key[len(NEAR) :, 1:]), d_trans]
+        grads = [sparse[0].spread(d_key[: len(NEAR), 1:]), sparse[1].spread(d_key[len(NEAR) :, 1:]), d_trans, *d_windows]
         rate = 0.08 * min(1.0, 2.0 * (1 - step / (rounds + 1)))
         for p, g, u, v in zip(params, grads, first, second):
             g = g / total - l2 * p
             u += 0.15 * (g - u)
             v += 0.03 * (g * g - v)
             p += rate * (u / (1 - 0.85**step)) / (np.sqrt(v / (1 - 0.97**step)) + 1e-5)
-    every = Features(parts(given), parts(family), vocabulary)
-    return Field(every, names_of, params[0], params[1], params[2] + bans)
+    return Field(Features(set(), set(), vocabulary), names_of, params[0], params[1], params[3:], params[2] + bans)
+
+
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
+#: Weights below this say nothing and are left out of the stored field.
+LEAST_WEIGHT = 0.02
+
+
+def store(field: Field, path: str = WEIGHTS) -> None:
+    """Keep a field's weights: features by name, weights in half precision."""
+    names = sorted(field.names, key=field.names.get)
+    near, far = (np.where(np.abs(w) < LEAST_WEIGHT, 0, w).astype(np.float16) for w in (field.near, field.far))
+    kept = np.flatnonzero(near.any((0, 2)) | far.any((0, 2)))
+    windows = {f"window{i}": np.where(np.abs(w) < LEAST_WEIGHT, 0, w).astype(np.float16) for i, w in enumerate(field.windows)}
+    np.savez_compressed(path, **windows, names=np.array([names[i] for i in kept]), vocabulary=np.array(sorted(field.features.vocabulary)), near=near[:, kept], far=far[:, kept], transitions=field.transitions.astype(np.float32))
+
+
+def load(path: str = WEIGHTS) -> Field:
+    """The stored field, without lists of known names."""
+    with np.load(path) as z:
+        names = {str(n): i for i, n in enumerate(z["names"])}
+        return Field(Features(set(), set(), {str(w) for w in z["vocabulary"]}), names, z["near"].astype(np.float32), z["far"].astype(np.float32), [z[f"window{i}"].astype(np.float32) for i in range(len(WINDOWS))], z["transitions"])
+
+
+def with_names(field: Field, names: list[tuple[str, str]]) -> Field:
+    """The field with lists of known names: (token, kind)."""
+    parts = lambda kind: {p.lower() for t, k in names if t and k == kind for p in _PART.findall(t)}
+    return Field(Features(parts("given"), parts("family"), field.features.vocabulary), field.names, field.near, field.far, field.windows, field.transitions)
 
 
 _fields: dict[str, Field] = {}
 
 
 def fitted(names: list[tuple[str, str]]) -> Field:
-    """The field for a table of known names, trained once in a process."""
+    """The stored field for a table of known names, made once in a process."""
     key = hashlib.sha256(repr(sorted(names)).encode()).hexdigest()
     if key not in _fields:
-        _fields[key] = train(names)
+        if "stored" not in _fields:
+            _fields["stored"] = load()
+        _fields[key] = with_names(_fields["stored"], names)
     return _fields[key]
 
 
@@ -405,12 +469,13 @@ class Recognizer:
         rows = small_rows(known_names.select("token", "kind").where("token IS NOT NULL"), MOST_NAMES, "the table of known names")
         field = fitted(sorted((r.token, r.kind or "") for r in rows))
         key = hashlib.sha256(repr(sorted((r.token, r.kind or "") for r in rows)).encode()).hexdigest()
-        shared = spark.sparkContext.broadcast((field.features, field.names, field.near.astype(np.float16), field.far.astype(np.float16), field.transitions))
+        weights = (field.names, field.near.astype(np.float16), field.far.astype(np.float16), [w.astype(np.float16) for w in field.windows], field.transitions)
+        shared = spark.sparkContext.broadcast((field.features, *weights))
 
         def local() -> Field:
             if key not in _fields:
-                features, names, near, far, transitions = shared.value
-                _fields[key] = Field(features, names, near.astype(np.float32), far.astype(np.float32), transitions)
+                features, names, near, far, windows, transitions = shared.value
+                _fields[key] = Field(features, names, near.astype(np.float32), far.astype(np.float32), [w.astype(np.float32) for w in windows], transitions)
             return _fields[key]
 
         def lots(texts: pa.Array) -> Iterator[tuple[list, list]]:
@@ -455,3 +520,7 @@ def found(df: DataFrame, recognizer: Recognizer, tbl: str, id_col: str, text_col
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("rec_id"), F.array_distinct(recognizer.pieces(F.col(text_col))).alias("pieces"))
     rows = rows.select("rec_id", F.explode("pieces").alias("p"))
     return rows.select(F.lit(tbl).alias("tbl"), "rec_id", F.col("p.kind").alias("kind"), F.col("p.found").alias("found"))
+
+
+if __name__ == "__main__":
+    store(train())

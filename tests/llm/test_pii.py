@@ -1,8 +1,14 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
 from stylograph.llm import pii
-from stylograph.llm.pii_examples import labelled_table
+from stylograph.llm.pii_examples import FAMILY, GIVEN, labelled_table
+
+sys.path.insert(0, os.path.dirname(__file__))
+from pii_cases import CASES  # noqa: E402
 
 NAMES = [("Peroan", "given"), ("Dervane", "given"), ("Haleth", "given"), ("Vesiska", "given"), ("TAMISKA", "given"), ("Falcombe", "family"), ("Munquist", "family"), ("Ashmere ", "family"), ("Kestholt", "family"), ("Rose", "given"), (None, None)]
 
@@ -21,6 +27,34 @@ def test_held_out_table(field):
     assert len(want & got) >= 0.88 * len(want) and len(want & got) >= 0.93 * len(got)
 
 
+@pytest.mark.parametrize("names", [[], sorted((t, k or "") for t, k in NAMES if t)])
+def test_texts_written_by_hand(names):
+    """Contexts and names that are none of the labelled table's."""
+    found = pii.fitted(names).spans([t for t, _ in CASES])
+    want = {(i, k, p) for i, (_, pieces) in enumerate(CASES) for k, p in pieces}
+    got = {(i, k, CASES[i][0][a:b]) for i, spans in enumerate(found) for a, b, k in spans}
+    assert len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.9 * len(got), (want - got, got - want)
+    for kind in pii.KINDS:
+        of_kind = {w for w in want if w[1] == kind}
+        assert len(of_kind & got) >= 0.85 * len(of_kind), (kind, of_kind - got)
+    known = {*GIVEN, *FAMILY}
+    assert not [p for _, k, p in want if k == "name" and set(p.title().replace("-", " ").split()) & known]
+
+
+def test_the_stored_field_is_read_as_it_was_kept(tmp_path):
+    field = pii.load()
+    path = str(tmp_path / "w.npz")
+    pii.store(field, path)
+    texts = [t for t, _ in CASES]
+    assert pii.load(path).spans(texts) == field.spans(texts)
+
+
+def test_training_learns():
+    """A field fitted to a small table in a few rounds already finds most of what is in it."""
+    field = pii.train(rounds=25, rows=300)
+    assert sum(map(bool, field.spans([t for t, s in labelled_table(GIVEN, FAMILY, 200, 9) if s]))) >= 60
+
+
 @pytest.mark.parametrize(
     "text, kind, piece",
     [
