@@ -38,6 +38,7 @@ _PAIR = r"^(?!\s*\(?(?:\d{1,3}|[A-Za-z])[.):\]]\s)[^:=]{1,60}[:=]\s*\S{1,24}(?:
 _VALUE = r"^\s*\S.*[\s,;|:]\d[\d.,/-]*%?(?:[\s,;|]|\z)"
 _JOINED = r"^[^,;]+(?:[,;][^\s,;][^,;]*)+\z"
 _MARKUP = r"</?[A-Za-z][^<>]*>|&[a-z]+;"
+_MAY_CODE = r"\p{N}|(?:^|[\s\x{85}\p{Z}\x{200b}\x{feff}])[\p{P}\p{S}]+(?:[\s\x{85}\p{Z}\x{200b}\x{feff}]|\z)"
 _VOWEL = r"[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ]"
 
 
@@ -122,8 +123,14 @@ def _measures(rows: DataFrame, common: list[str]) -> DataFrame:
     n_lines = F.size(lines)
 
     def line_share(pattern: str) -> Column:
-        return _share(F.size(F.filter(lines, lambda x: x.rlike(pattern))), n_lines)
+        # no function asks for the lines of a text that has only one
+        return F.when(n_lines >= 2, _share(F.size(F.filter(lines, lambda x: x.rlike(pattern))), n_lines)).otherwise(F.lit(0.0))
 
+    def only(condition: Column, measure: Column) -> Column:
+        """The measure, which is 0 for sure where a cheap condition does not hold."""
+        return F.when(condition, measure).otherwise(F.lit(0.0))
+
+    t = F.col("_t")
     clauses = F.transform(F.split("_body", r"[.!?…。]+(?=\s|\"|”|»|\z)|" + _LINE), lambda s: F.regexp_extract_all(F.lower(s), F.lit(_WORD), F.lit(0)))
     sentences = F.filter(clauses, lambda s: (F.size(s) >= 4) & (F.size(F.filter(s, is_common)) * 6 >= F.size(s)))
     long_words = F.filter(words, lambda w: F.length(w) >= 3)
@@ -147,15 +154,15 @@ def _measures(rows: DataFrame, common: list[str]) -> DataFrame:
             "pair_lines": line_share(_PAIR),
             "value_lines": line_share(_VALUE),
             "inline_items": F.greatest(*(F.floor((F.length(inline) - F.length(F.replace(inline, F.lit(x), F.lit("")))) / len(x)) for x in (" / ", " | ", "; ", ", ", " · ", " • ", " - ", " – ", " → ", " * "))) + 1,
-            "tag_share": _share(F.size(F.filter("_raw", lambda x: x.rlike(r"^(?:[@#][\p{L}\p{N}_]+[,:;.]?|https?://\S+|www\.\S+)\z"))), F.size("_raw")),
+            "tag_share": only(t.contains("@") | t.contains("#") | t.contains("http") | t.contains("www."), _share(F.size(F.filter("_raw", lambda x: x.rlike(r"^(?:[@#][\p{L}\p{N}_]+[,:;.]?|https?://\S+|www\.\S+)\z"))), F.size("_raw"))),
             "long_words": F.size(long_words),
-            "voweled_share": _share(F.size(F.filter(long_words, lambda w: w.rlike(_VOWEL) & ~w.rlike(r"[bcdfghjklmnpqrstvwxz]{5,}"))), F.size(long_words)),
-            "code_share": _share(F.size(F.filter(tokens, lambda x: x.rlike(r"^(?:0x[0-9a-fA-F]+|[\p{N}\p{P}\p{S}]+|[A-Za-z]*\d+[A-Za-z0-9]*)\z"))), F.size(tokens)),
-            "markup_share": _share(F.length("_t") - F.length(F.regexp_replace("_t", _MARKUP, "")), bare),
+            "voweled_share": only(F.size(long_words) >= 4, _share(F.size(F.filter(long_words, lambda w: w.rlike(_VOWEL) & ~w.rlike(r"[bcdfghjklmnpqrstvwxz]{5,}"))), F.size(long_words))),
+            "code_share": only(F.col("_body").rlike(_MAY_CODE), _share(F.size(F.filter(tokens, lambda x: x.rlike(r"^(?:0x[0-9a-fA-F]+|[\p{N}\p{P}\p{S}]+|[A-Za-z]*\d+[A-Za-z0-9]*)\z"))), F.size(tokens))),
+            "markup_share": only(t.contains("<") | t.contains("&"), _share(F.length("_t") - F.length(F.regexp_replace("_t", _MARKUP, "")), bare)),
             "quote_share": _share(_count(F.col("_t"), r"[{}\[\]\"]"), bare),
             "sign_share": _share(_count(F.col("_t"), r"[!-/:-@\[-`{-~]"), bare),
             "repeat_share": F.when(n >= 4, 1.0 - _share(F.size(F.array_distinct(pairs)), n - 1)).otherwise(F.lit(0.0)),
-            "broken_share": _share(_count(F.col("_t"), r"Ã.|â€|\x{fffd}"), bare),
+            "broken_share": only(t.contains("Ã") | t.contains("â€") | t.contains("\ufffd"), _share(_count(t, r"Ã.|â€|\x{fffd}"), bare)),
         }
     ).drop("_raw", "_body", "_lines", "_words", "_tokens", "_low")
 
