@@ -38,6 +38,9 @@ WINDOWS = ((-2, -1, 0), (-1, 0, 1), (0, 1, 2), (-1, 0, 1, 2))
 CLASSES = 26
 SIGNS = {".": 14, ",": 15, "@": 16, "-": 17, "/": 18, "(": 19, ")": 20, "+": 21, ":": 22, "'": 23, "’": 23}
 
+#: Token keys whose scores are kept.
+MOST_ROWS = 150_000
+
 _SPACE = r"\s​﻿⁠"
 _TOKEN = re.compile(rf"[^\W\d_]+|\d+|[^{_SPACE}]")
 
@@ -123,14 +126,13 @@ class Field:
     def __init__(self, features: Features, names: dict[str, int], near: np.ndarray, far: np.ndarray, windows: list[np.ndarray], transitions: np.ndarray):
         self.features, self.names, self.near, self.far, self.windows, self.transitions = features, names, near, far, windows, transitions
         self._rows: dict[str, int] = {}
+        self._seen: dict[str, int] = {}  # the row of a gap and token as written
         self._class = np.zeros(1024, np.int64)
         self._store = np.zeros((1024, len(NEAR) + len(FAR), len(LABELS)), np.float32)
 
     def _row(self, key: str) -> int:
         row = self._rows.get(key)
         if row is None:
-            if len(self._rows) > 200_000:
-                self._rows.clear()
             row = self._rows[key] = len(self._rows) + 1  # row 0 is beyond a text
             if row >= len(self._store):
                 self._store = np.concatenate([self._store, np.zeros_like(self._store)])
@@ -157,9 +159,9 @@ class Field:
 
     def decode(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Best labels of each text, given as token keys."""
-        if len(self._rows) > 150_000:  # rows must not move within a batch
-            self._rows.clear()
-        ids = [np.array([self._row(k) for k in keys], np.int32) for keys in texts]
+        return self._decoded([np.array([self._row(k) for k in keys], np.int32) for keys in texts])
+
+    def _decoded(self, ids: list[np.ndarray]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, np.int8)] * len(ids)
         order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: len(ids[i]))
         at = 0
@@ -176,16 +178,25 @@ class Field:
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Checked pieces (start, end, kind) of each text."""
+        if len(self._rows) > MOST_ROWS or len(self._seen) > 2 * MOST_ROWS:  # only here, as rows must not move within a batch
+            self._rows.clear()
+            self._seen.clear()
         tokens = [tokenize(t) if t else [] for t in texts]
-        keys = []
+        ids, seen = [], self._seen
         for text, spans in zip(texts, tokens):
             last, row = 0, []
             for a, b in spans:
-                row.append(token_key(text[a:b], _gap(text, last, a)))
+                token = text[a:b]
+                gap = ("g0" if a else "gs") if a == last else "gn" if "\n" in text[last:a] else "g1"
+                key = gap + token
+                i = seen.get(key)
+                if i is None:
+                    i = seen[key] = self._row(token_key(token, gap))
+                row.append(i)
                 last = b
-            keys.append(row)
+            ids.append(np.array(row, np.int32))
         found = []
-        for text, spans, labels in zip(texts, tokens, self.decode(keys)):
+        for text, spans, labels in zip(texts, tokens, self._decoded(ids)):
             found.append([p for p in (_checked(text, *piece) for piece in _pieces(spans, labels)) if p] if labels.any() else [])
         return found
 
