@@ -38,16 +38,29 @@ DEPENDENT_OPENERS = (
 # Our own tagger's closed classes and endings; the tags are those of the Penn Treebank.
 TAG_WORDS = {
     "DT": "the a an this that these those each every some any no all both either neither another".split(),
-    "MD": "can could may might must shall should will would ca wo".split(),
+    "MD": "can could may might must shall should will would ca wo cannot".split(),
     "CC": "and but or nor yet so plus".split(),
     "PRP": "i you he she it we they me him her us them myself yourself himself herself itself ourselves themselves".split(),
     "PRP$": "my your his its our their mine yours hers ours theirs".split(),
     "IN": "of in on at for with by from into over under about after before between through during without within against among along across behind beyond near since until upon toward towards "
     "if because although though while unless whereas whether than as like per via".split(),
     "TO": ["to"],
-    "RB": "not n't very too also just never always often still even already soon now then here there again once ever almost quite rather really actually maybe perhaps only".split(),
-    "VB": "be do have go get make see know think want need take come give find tell ask use try keep let say".split(),
-    "VBD": "was were did had went got made saw knew thought took came gave found told said kept left felt".split(),
+    "RB": "not n't very too also just never always often still even already soon now then here there again once ever almost quite rather really actually maybe perhaps only please away back together later sometimes usually especially however instead yet well far".split(),
+    "NN": "morning evening thing nothing something anything everything meeting building spring string king ring wedding ceiling music nobody somebody everybody everyone someone anyone logic public traffic metal animal journal hospital red gas bus".split(),
+    "JJ": (
+        "good new old great big small large long little high low young early late important bad able best better real sure free full clear easy hard strong whole other same different next last first own fresh heavy light dark quiet loud quick slow warm cold hot cool dry wet rich poor "
+        "happy sad nice strange simple rare common main major final latest recent modern ancient honest clever wide narrow deep flat soft rough sharp thin thick weak brave calm kind fair true false wrong right ready busy empty close open clean dirty safe tired awake alone worth more most "
+        "less black white blue green yellow brown red gray familiar similar popular broken boring"
+    ).split(),
+    "VB": (
+        "be do have go get make see know think want need take come give find tell ask use try keep let say seem feel leave call show hear play run move live believe hold bring happen write provide sit stand lose pay meet include continue set learn change lead understand watch follow "
+        "stop create speak read allow add spend grow walk win offer remember love consider appear buy wait serve die send expect build stay fall cut reach kill remain suggest raise pass sell require report decide pull forget trust visit eat drink sleep drive open close begin start "
+        "choose break carry draw fight fly hang hide hit throw wear teach sing swim bake taste sound look help check agree like enjoy"
+    ).split(),
+    "VBD": (
+        "was were did had went got made saw knew thought took came gave found told said kept left felt became began brought bought built caught chose drove drank ate fell flew forgot grew held heard hid led lost met paid ran sat sold sent sang slept spoke spent stood swam taught threw "
+        "understood wore won wrote drew broke rose shook stuck struck"
+    ).split(),
     "VBZ": "is are am 's 're 'm has does goes gets makes says needs wants".split(),
     "VBN": "been done gone seen known taken given".split(),
     "WP": "who whom whose what which when where why how".split(),

@@ -104,6 +104,11 @@ def bullets(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
+def counted(text: Column) -> Column:
+    """The text after its number of characters, in a field of three places or more."""
+    return F.format_string("[%3dc] %s", F.length(text), text)
+
+
 def sentences(text: Column) -> Column:
     """Sentences in order, without empty ones."""
     for pattern, replacement in P.SENTENCE_RULES:

@@ -204,7 +204,7 @@ def quoted(mark: str) -> str:
     return f"CASE WHEN contains({mark}, {one}) AND NOT contains({mark}, {two}) THEN {two} || {mark} || {two} ELSE {one} || {escaped} || {one} END"
 
 
-def guide() -> str:
+def guide(excluded) -> str:
     """The style guide of the posts, put together as text."""
     body = "\n\n".join(f"## {t}\n\n{b}" for t, b in (("Length", render.LENGTH), ("Sentence construction", render.SENTENCES), ("Diction", render.DICTION), ("Punctuation", render.PUNCTUATION), ("Hard rules", render.RULES)))
     best = top(f"SELECT * FROM ({vocabulary()}) WHERE {matches('token', P.PUNCTUATION)}", 20)
@@ -213,7 +213,7 @@ def guide() -> str:
     values = {c: rounded(c, d) for c, d in digits.items()}
     values["habit"] = f"CASE WHEN round(coordinator_per_1k, 1) > round(subordinator_per_1k, 1) THEN {lit(render.MORE_COORDINATION)} ELSE {lit(render.MORE_SUBORDINATION)} END"
     values["mix"] = f"(SELECT string_agg(pos_group || ' ' || {rounded('pct', 2)} || '%', ', ' ORDER BY ord) FROM ({pos_mix()}))"
-    values["words"] = f"(SELECT string_agg(word, ', ' ORDER BY rank) FROM ({content_words(Q.EXCLUDED)}) WHERE rank < {render.SHOWN_WORDS})"
+    values["words"] = f"(SELECT string_agg(word, ', ' ORDER BY rank) FROM ({content_words(excluded)}) WHERE rank < {render.SHOWN_WORDS})"
     values |= {"marks": f"({marks})", "rules": lit(f"- {Q.RULE}")}
     return f"SELECT {lit(Q.PERSONA + chr(10) + chr(10))} || {fill(body, **values)} || chr(10) AS guide FROM ({sentence_stats()}), ({word_stats()})"
 
@@ -293,7 +293,9 @@ def oracle_sql() -> dict[str, str]:
         "seed_sample": SEEDS,
         "parse_candidates": f"SELECT pos, CASE pos % 3 WHEN 0 THEN {shown('more', 'bare')} WHEN 1 THEN {shown()} END AS found, pos % 3 = 2 AS failed FROM (SELECT pos, {strip('text')} AS t FROM archive_posts WHERE text IS NOT NULL)",
         "parse_facts": f"SELECT pos, CASE WHEN pos % 3 < 2 THEN {shown('known')} END AS found, pos % 3 = 2 AS failed FROM (SELECT pos, {strip('text')} AS t FROM archive_posts WHERE text IS NOT NULL)",
-        "render_guide": guide(),
+        "render_guide": guide(Q.EXCLUDED),
+        "voice_file": f"SELECT 0::BIGINT AS ord, 'guide' AS part, guide AS text FROM ({guide(Q.BANNED)}) UNION ALL SELECT row_number() OVER (ORDER BY score DESC, pos), 'exemplar', text FROM ({scored('archive_posts', 'pos')}) QUALIFY row_number() OVER (ORDER BY score DESC, pos) <= 400",
+        "candidate_lines": "SELECT pos, '[' || lpad(length(text)::VARCHAR, greatest(3, length(length(text)::VARCHAR))::INTEGER, ' ') || 'c] ' || text AS line FROM archive_posts WHERE text IS NOT NULL",
         "style_profile_full": full_profile(**lang),
         "generate_candidates": f"SELECT account_id, length(prompt) || ' characters|more' AS candidates, NULL::VARCHAR AS error FROM ({CANDIDATE_PROMPTS})",
         "generate_replies": f"SELECT pos, 'Sounds good after ' || length(prompt) || ' characters.' AS reply, NULL::VARCHAR AS error FROM ({REPLY_PROMPTS})",

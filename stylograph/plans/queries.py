@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stylograph.functions import text as T
 from stylograph.operators import exemplars, model, profile, prompts, safety
 from stylograph.plans.render import render_style_guide
-from stylograph.sources import archive
+from stylograph.sources import archive, voice
 from stylograph.sources.tables import table, wide_table
 from stylograph.streaming import gate
 
@@ -269,6 +269,23 @@ def render_guide(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(render_style_guide(measured, PERSONA, [RULE]),)], "guide string")
 
 
+def voice_file(spark: SparkSession, d: str) -> DataFrame:
+    """A voice file of the posts, written into the checkpoint folder and read back: the guide, then the exemplars in order."""
+    from stylograph.cli import build_voice
+    from stylograph.plans.scale import checkpoint_dir
+
+    guide, texts, _ = build_voice(_posts(spark, d).select("pos", "text"), PERSONA, [RULE], BANNED, ON_BRAND)
+    path = f"{checkpoint_dir(spark)}/voice-{os.urandom(8).hex()}.json"
+    voice.write_voice(urlparse(path).path, guide, texts)
+    read = spark.read.schema("style_guide string, exemplars array<string>").json(path, multiLine=True)
+    rows = F.concat(F.array(F.struct(F.lit("guide").alias("part"), F.col("style_guide").alias("text"))), F.transform("exemplars", lambda x: F.struct(F.lit("exemplar").alias("part"), x.alias("text"))))
+    return read.select(F.posexplode(rows).alias("ord", "r")).select(F.col("ord").cast("bigint").alias("ord"), "r.part", "r.text")
+
+
+def candidate_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _posts(spark, d).where("text IS NOT NULL").select("pos", T.counted(F.col("text")).alias("line"))
+
+
 def _parsing(spark: SparkSession, d: str) -> DataFrame:
     """Records of the raw export that parse."""
     return table(spark, d, "archive_raw").where(F.try_parse_json("record").isNotNull() & F.trim("record").startswith("{"))
@@ -356,6 +373,6 @@ def queries() -> dict[str, Query]:
         curate_top_n, clean_text, word_count_filter, own_posts, own_posts_with_replies, dedup_first, exemplar_filter, exemplar_score, curate_documents, sentence_split, tokenize, alpha_words, punct_tokens,
         sentence_stats, clause_rates, word_shape, function_word_rates, punctuation_top20, content_words_top60, content_words_top60_excluded, pos_mix, style_profile, style_profile_by_lang, style_profile_full,
         load_categories, safety_score, safety_flagged, safety_matches, safety_vs_labels, history_window, reply_prompt, interject_prompt, fact_prompt, candidate_prompt, strip_quotes, strip_fence, parse_decision,
-        parse_candidates, parse_facts, seed_sample, bullet_join, render_guide, load_archive, normalize_records, generate_candidates, generate_replies, extract_facts, should_interject, gate_stream, flag_rates,
+        parse_candidates, parse_facts, seed_sample, bullet_join, render_guide, voice_file, candidate_lines, load_archive, normalize_records, generate_candidates, generate_replies, extract_facts, should_interject, gate_stream, flag_rates,
     )
     return {f.__name__: f for f in every}

@@ -72,3 +72,59 @@ def test_guide(spark):
     assert guide.startswith("A writer.\n\n## Length") and guide.endswith("- No politics.\n")
     assert guide.count("\n## ") == 5 and "## Hard rules" not in render_style_guide(p)
     assert f"mean {p.sent_len_mean}" in guide
+
+
+#: Sentences tagged by hand, independently of the rules: d determiner, n noun, v verb, j adjective, r adverb, p pronoun, i preposition, m modal, c conjunction, x other.
+TAGGED = """
+the/d old/j gardener/n never/r waters/v his/p roses/n
+we/p walked/v slowly/r along/i the/d river/n and/c talked/v
+she/p will/m probably/r sell/v the/d house/n in/i spring/n
+a/d quiet/j morning/n is/v worth/j more/j than/i gold/n
+they/p have/v finally/r repaired/v our/p broken/j fence/n
+you/p should/m read/v this/d letter/n before/i dinner/n
+my/p brother/n quickly/r found/v two/x useful/j tools/n
+I/p cannot/m believe/v that/i he/p left/v without/i us/p
+every/d child/n wanted/v another/d piece/n of/i cake/n
+the/d train/n was/v late/j but/c nobody/n complained/v
+it/p rained/v heavily/r during/i the/d whole/j match/n
+some/d teachers/n give/v difficult/j homework/n on/i Fridays/n
+he/p could/m not/r open/v the/d heavy/j door/n
+because/i the/d shop/n was/v closed/v we/p ate/v at/i home/n
+her/p music/n sounds/v strange/j and/c beautiful/j
+the/d engine/n makes/v a/d terrible/j noise/n again/r
+I/p really/r like/v the/d small/j cafe/n near/i the/d station/n
+those/d apples/n taste/v better/r than/i these/d pears/n
+please/r send/v me/p the/d latest/j report/n
+students/n often/r forget/v their/p books/n
+the/d cat/n slept/v under/i the/d table/n
+a/d careful/j driver/n always/r checks/v the/d mirrors/n
+can/m you/p bring/v the/d hammer/n or/c the/d saw/n
+this/d movie/n is/v very/r boring/j
+the/d company/n announced/v its/p annual/j results/n
+nothing/n happened/v after/i the/d meeting/n
+we/p must/m never/r underestimate/v small/j teams/n
+the/d weather/n has/v been/v terrible/j lately/r
+an/d honest/j answer/n helps/v everyone/n
+I/p bought/v fresh/j bread/n from/i the/d baker/n
+his/p active/j mind/n kept/v him/p awake/j
+the/d painter/n mixed/v blue/j with/i yellow/n
+people/n usually/r trust/v familiar/j voices/n
+they/p were/v singing/v loudly/r in/i the/d kitchen/n
+she/p might/m visit/v us/p next/j week/n
+the/d careless/j waiter/n dropped/v my/p plate/n
+""".strip().splitlines()
+
+
+def test_tags_against_the_hand(spark):
+    """How far the tagger agrees with the hand; the figure is quoted in the README."""
+    from pyspark.sql import functions as F
+
+    from stylograph.functions.lexicons import POS_GROUPS
+
+    letter = dict(zip(POS_GROUPS, "nvjrpdimc"))
+    group = {t: letter[g] for g, tags in POS_GROUPS.items() for t in tags}
+    pairs = [tuple(w.rsplit("/", 1)) for line in TAGGED for w in line.split()]
+    rows = spark.createDataFrame(pairs, "token string, want string").select("token", "want", P.tag(F.col("token")).alias("tag")).collect()
+    right = sum(group.get(r.tag, "x") == r.want for r in rows)
+    print(len(rows), right / len(rows), [(r.token, r.want, r.tag) for r in rows if group.get(r.tag, "x") != r.want])
+    assert right >= 0.75 * len(rows)
