@@ -42,10 +42,39 @@ _STATS = (
     f"FROM (SELECT pos, {_T} AS t, {_WORDS} AS w, {_LINES} AS l, (SELECT list(word) FROM common_words) AS c FROM archive_posts)"
 )
 
+#: Brute force, by counting the common words of all pairs that have one.
+_WORD_SETS = rf"SELECT pos, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{Nd}}]+'), lambda w: w <> '')) AS w FROM archive_posts WHERE pos IS NOT NULL"
+_ALIKE = (
+    f"WITH s AS MATERIALIZED (SELECT pos, w, len(w) AS n FROM ({_WORD_SETS}) WHERE len(w) >= 8), x AS MATERIALIZED (SELECT pos, n, unnest(w) AS word FROM s) "
+    "SELECT a.pos AS pos_a, b.pos AS pos_b FROM x a JOIN x b ON a.word = b.word AND a.pos < b.pos GROUP BY a.pos, b.pos, a.n, b.n HAVING count(*) >= 0.7 * least(a.n, b.n)"
+)
+#: Classes of equal word sets, links between them, and the smallest class that each can reach.
+_GROUPED = (
+    f"WITH RECURSIVE c AS MATERIALIZED (SELECT pos, min(pos) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS n_copies FROM (SELECT pos, list_sort(w) AS k FROM ({_WORD_SETS}) WHERE len(w) >= 8)), "
+    f"l AS MATERIALIZED (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM ({_ALIKE}) p JOIN c a ON p.pos_a = a.pos JOIN c b ON p.pos_b = b.pos WHERE a.class_id <> b.class_id), "
+    "e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT DISTINCT class_id AS node, class_id AS label FROM c UNION SELECT e.b, r.label FROM r JOIN e ON r.node = e.a AND r.label < e.b), "
+    "g AS (SELECT node, min(label) AS group_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a) "
+    "SELECT pos, class_id, group_id, n_copies, coalesce(n_links, 0) AS n_links FROM c JOIN g ON class_id = node LEFT JOIN n ON class_id = a"
+)
+#: Brute force, by every span of 200 characters; spans are told apart by their digests.
+_SHARED = (
+    "WITH d AS (SELECT doc_id, text, length(text) - 199 AS n FROM documents WHERE length(text) >= 200), g AS (SELECT doc_id, i, md5(substring(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(n)) AS i FROM d)), "
+    "m AS (SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING min(doc_id) < max(doc_id))), "
+    "o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, i FROM m)), r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) "
+    "SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM r GROUP BY doc_id, run"
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"SELECT tbl, keep_id, rec_id AS copy_id FROM ({_GROUPS}) WHERE rec_id <> keep_id",
         "p3_collapsed": f"SELECT tbl, keep_id, n_copies FROM ({_GROUPS}) WHERE rec_id = keep_id",
         "p4_stats": _STATS,
+        "p5_found": _ALIKE,
+        "p5_groups": _GROUPED,
+        "p8_found": _SHARED,
+        "p8_shared": (
+            f"SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(s, 0)::BIGINT AS shared_chars, CASE WHEN coalesce(length(text), 0) > 0 THEN coalesce(s, 0)::DOUBLE / length(text) ELSE 0.0 END AS shared_share "
+            f"FROM documents LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS s FROM ({_SHARED}) GROUP BY doc_id) USING (doc_id)"
+        ),
     }
