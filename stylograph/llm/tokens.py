@@ -112,7 +112,8 @@ class Tokenizer:
             most = enc.max_token_value
             return pa.array([b"".join(enc.decode_single_token_bytes(i) for i in x or [] if i is not None and 0 <= i <= most) for x in ids.to_pylist()], pa.binary())
 
-        self._encode, self._count, self._decode = encode, count, decode
+        # as if not deterministic: else a filter on the number would make the optimizer count twice
+        self._encode, self._count, self._decode = encode, count.asNondeterministic(), decode
 
     def ids(self, text: Column | str) -> Column:
         """The ids of a text column."""
