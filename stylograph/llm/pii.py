@@ -529,7 +529,7 @@ class Recognizer:
 def found(df: DataFrame, recognizer: Recognizer, tbl: str, id_col: str, text_col: str = "text") -> DataFrame:
     """(tbl, rec_id, kind, found): each different piece of each record."""
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("rec_id"), F.array_distinct(recognizer.pieces(F.col(text_col))).alias("pieces"))
-    rows = rows.select("rec_id", F.explode("pieces").alias("p"))
+    rows = rows.select("rec_id", F.explode_outer("pieces").alias("p")).where("p IS NOT NULL")  # outer: no filter on the pieces is inferred, which would find them twice
     return rows.select(F.lit(tbl).alias("tbl"), "rec_id", F.col("p.kind").alias("kind"), F.col("p.found").alias("found"))
 
 
