@@ -35,7 +35,7 @@ THRESHOLD = 4.0
 CLASSES = {
     # insults that have no harmless sense for a person, and those that have
     "N": (3.0, "idiot idiots moron morons imbecile imbeciles cretin cretins dimwit halfwit scumbag scumbags dumbass dumbasses bastard bastards bitch bitches asshole assholes arsehole cunt cunts twat wanker prick dickhead "
-          "shithead motherfucker douchebag slut whore retard faggot lowlife degenerate nitwit simpleton dunce weakling crybaby bootlicker pervert fuckwit scum subhuman subhumans"),
+          "shithead motherfucker douchebag slut whore retard faggot lowlife degenerate nitwit simpleton dunce weakling crybaby bootlicker pervert fuckwit scum subhuman subhumans whores sluts cunts pricks wankers twats retards dickheads perverts faggots motherfuckers degenerates lowlifes"),
     "M": (2.0, "loser losers coward cowards fraud frauds parasite parasites pig pigs clown clowns fool fools jerk jerks trash garbage rat rats snake snakes weasel weasels leech leeches creep creeps freak freaks slob liar liars failure "
           "waste disgrace dog dogs cow animal animals cockroach vermin filth swine toad maggot worm joke monster monsters twit hag skank tramp psycho"),
     "V": (2.0, "loser coward fraud parasite pig clown fool jerk rat snake weasel leech creep freak slob liar twit losers cowards pigs clowns rats trash scum"),
@@ -69,10 +69,10 @@ CLASSES = {
     "YOUR": (0.0, "your ur yer"),
     "DET": (0.0, "a an the such one another some"),
     "ADV": (0.5, "so such just really very totally absolutely damn complete total utter absolute truly fucking bloody nothing but literally all always still"),
-    "SOON": (0.0, "will shall gonna going want wanna must to swear promise"),
+    "SOON": (0.0, "will shall gonna going want wanna must to swear promise coming about ready"),
     "ILL": (0.0, "i'll we'll lemme gonna ill imma"),
     # other languages, without accents
-    "DE_N": (3.0, "idiot idiotin vollidiot trottel arschloch dummkopf schwachkopf hurensohn wichser missgeburt abschaum schlampe hure drecksack mistkerl fotze spast drecksau vollpfosten bastard"),
+    "DE_N": (3.0, "idiot idiotin vollidiot trottel arschloch dummkopf schwachkopf hurensohn wichser missgeburt abschaum schlampe hure drecksack mistkerl fotze spast drecksau vollpfosten bastard idioten vollidioten hurensohne arschlocher schlampen huren"),
     "DE_M": (2.0, "versager depp feigling schwein ratte clown lugner penner loser esel hund null parasit"),
     "DE_A": (1.5, "dumme dummer dummes dreckige dreckiger dreckiges elende elender elendes blode bloder blodes nutzlose nutzloser erbarmliche erbarmlicher widerliche widerlicher wertlose wertloser hasslicher hassliche verdammter verdammte"),
     "DE_P": (2.0, "dumm blod erbarmlich widerlich wertlos nutzlos ekelhaft abartig"),
@@ -148,7 +148,16 @@ RULES = [
     ("insult", 4, "YOU disgust {me|us|everyone}"),
     ("insult", 4, "crawl back {under|to|into|in} {YOUR|the|that|whatever}"),
     ("insult", 4, "{eat|suck|lick} {shit|dirt|it|my} {YOU|N|boots|ass|balls|END}"),
+    ("insult", 2.5, "{YOU ARE|you're|youre} {DET|ADV|A|B}* {piece|pile|bag|sack|heap|excuse|lump} of {ADV|A|B}* {N|M|shit|crap|dirt}"),
+    ("insult", 4, "{YOU ARE|you're|youre} {so|even|far}? {dumber|stupider|uglier|worse|dirtier} than"),
+    ("insult", 4, "YOU make me want to {puke|vomit|throw|scream}"),
+    ("insult", 1, "YOUR KIN ARE {DET|ADV|A|B}* N"),
+    ("insult", 2, "{they|these|those} ARE all {ADV|A|B}* {N|M} END"),
+    ("insult", 4, "drop dead STOP"),
+    ("insult", 1, "die YOU? {ADV|A|B}* N END"),
     # violence
+    ("threat", 2.5, "YOUR KIN {deserve|deserves} to DIE"),
+    ("threat", 2, "{someone|somebody} {should|must|needs|ought|has|oughta} to? _1 {KILL|HURT} {YOU|him|her|them}"),
     ("threat", 2.5, "YOU {deserve|deserved} to {be|get} DONE"),
     ("threat", 2.5, "YOU deserve {it|to|nothing} DIE"),
     ("threat", 2.5, "YOU deserve to DIE"),
@@ -190,6 +199,9 @@ RULES = [
     ("hate", 1, "{those|these|the} _2 are {ADV|B|DET|A|nothing|but}* DEHUM END"),
     ("hate", 1, "GROUP {are|were} {ADV|B|DET|A|nothing|but}* {DEHUM|BEAST|PLAGUE} {END|on|of|to}"),
     ("hate", 2, "{you|these|those|them} {people|lot|types|folk|folks|kind|freaks} {are|were} {ADV|B|DET|A|nothing|but}* {DEHUM|BEAST|PLAGUE} END"),
+    ("hate", 1, "GROUP {are|were} {ADV|B|DET|A|nothing|but|all}* N END"),
+    ("hate", 3.5, "{kick|throw|drive|get|keep} {all|the|every|those|these} {the|those|these|fucking|damn}? GROUP out"),
+    ("hate", 4, "deport {them all|all of them|every|all GROUP|those GROUP|the GROUP}"),
     ("hate", 2, "{GROUP|they|people|those|these} _1 {is|are} {ADV|DET}* PLAGUE {on|of|to|in} {our|this|the|my} PLACE"),
     ("hate", 1, "{GROUP|they} {should|must|need} all? to? be? all? {EXPEL|BANISH} END"),
     ("hate", 1, "_ {should|must} all? be all? EXPEL"),
@@ -213,7 +225,9 @@ RULES = [
     ("sexual", 5, "{send|show|share|give|gimme|dm|want|trade} {me|us|some|you|your|ur|my|more}? {YOUR|some|more|hot|my|me|those}? {nudes|nude}"),
     ("sexual", 3, "{wanna|want|you} {to}? {see|touch|taste|feel|suck} {my|YOUR|me} _? {NUDE|PRIVATE|naked}"),
     ("sexual", 2, "{hot|sexy|free|wild|horny|my|dirty}? {hot|sexy|free|wild|dirty}? NUDE PICS"),
-    ("sexual", 3, "PICS of {me|my|us} {NUDE|PRIVATE}"),
+    ("sexual", 3, "PICS of {me|my|us|YOUR} {NUDE|PRIVATE}"),
+    ("sexual", 4.5, "{let's|lets|wanna|want to|come} have sex"),
+    ("sexual", 1.5, "{someone|somebody|girl|guy|woman|man|anyone} to SEX"),
     ("sexual", 3, "{hot|sexy|dirty} PICS {in|on} my {profile|bio|dms|page|channel}"),
     ("sexual", 5, "{free|hot|live|amateur|best} {porn|sex|xxx}"),
     ("sexual", 5, "porn {by|of|with|here|link|videos|site}"),
@@ -242,6 +256,8 @@ RULES = [
     ("threat", 4, "ich {schlag|schlage|mach|mache|steche} {dich|dir} _2 {fertig|kaputt|ab|tot|ein|zusammen}"),
     ("threat", 4, "{hoffe|hoffentlich} {du|stirbst} {stirbst|verreckst|krepierst|du}"),
     ("threat", 4, "{geh|geht} {sterben|verrecken}"),
+    ("hate", 1.5, "{auslander|juden|muslime|fluchtlinge|turken|frauen|zigeuner|migranten|schwarze} sind {nur|doch|wie|alle|ein}* DE_D"),
+    ("insult", 2, "{ihr seid|sie sind} {so|alle|alles|echt|einfach|doch|nur|wirklich|DE_A}* {DE_N|DE_M} END"),
     ("hate", 1.5, "{alle|diese} _2 sind {nur|doch|wie|alle|ein}* DE_D"),
     ("hate", 4, "{auslander|fluchtlinge|juden|muslime} {raus|vergasen|abschieben}"),
     ("sexual", 4.5, "{schick|sende|zeig|schicke} mir _2 {nacktbilder|nacktfotos|titten|nudes}"),
@@ -256,6 +272,7 @@ RULES = [
     ("threat", 2, "{voy|vamos} a ES_V {a|te|END|tu}?"),
     ("threat", 4, "{ojala|espero} _1 te {mueras|maten|pudras|ahogues}"),
     ("threat", 4, "te {mato|matare|rompo|parto|reviento}"),
+    ("hate", 1.5, "{inmigrantes|moros|gitanos|judios|negros|extranjeros|refugiados|mujeres|maricones|migrantes} son {una|unos|unas|solo|puros|pura|todos}* ES_D"),
     ("hate", 1.5, "{todos|todas|esos|estos} {los|las}? _2 son {una|unos|unas|solo|puros|pura}* ES_D"),
     ("hate", 4, "{vuelve|vete|vuelvete|largate} a tu pais"),
     ("sexual", 4.5, "{manda|mandame|envia|enviame|pasame} {me|tus|fotos|unas}* {nudes|desnuda|desnudo|desnudos|tetas}"),
@@ -270,6 +287,7 @@ RULES = [
     ("threat", 2, "{je|on} {vais|va} {te|vous} _1 FR_V"),
     ("threat", 4, "{va|allez} {crever|mourir}"),
     ("threat", 4, "{j'espere|espere} que tu {creves|meurs|vas|mourras} {crever|mourir|END}?"),
+    ("hate", 1.5, "{arabes|juifs|noirs|immigres|migrants|musulmans|femmes|etrangers|refugies|gitans} sont {une|des|que|tous|de|la}* FR_D"),
     ("hate", 1.5, "{tous|toutes|ces} {les|des}? _2 sont {une|des|que|tous|de|la}* FR_D"),
     ("hate", 4, "{rentre|retourne|rentrez|retournez} {dans|chez} {ton|toi|votre|vous} {pays|END}?"),
     ("sexual", 4.5, "{envoie|envoies|montre} {moi|tes|des|photos|une}* {nudes|nue|nu|seins|nichons}"),

@@ -194,3 +194,129 @@ my dumb phone froze
 stupid rain again
 an idiot light on the dashboard
 """.strip().splitlines()
+
+#: A second set, written when the first had been used for corrections.
+ABUSIVE += """
+you're a worthless piece of trash
+what an absolute moron
+you are garbage
+you disgusting pervert
+go kill yourself
+I hope you get cancer
+I hope you die in a fire
+you are a waste of space
+I'm coming to kill you
+we're going to burn your house down
+I will rape you
+someone needs to punch him in the face
+you should be hanged
+all women are whores
+blacks are inferior
+jews control everything and should be gassed
+those refugees are cockroaches
+kick all muslims out
+gays are disgusting
+deport them all, they are criminals and rapists
+these people are subhuman
+you fat ugly cow
+shut up you stupid idiot
+nobody wants you here
+eat shit and die
+you are dumber than a rock
+you make me want to puke
+your mother is a whore
+he's a complete idiot
+she's nothing but a dirty whore
+they are all idiots
+your family deserves to suffer
+I'll cut your throat
+I want to see your tits
+send me pics of your ass
+let's have sex tonight
+suck my cock
+looking for someone to fuck
+hey sexy, want to see me naked?
+click here for free nude pics
+ich hasse dich, du Hurensohn
+du bist so dumm
+Ausländer raus
+ihr seid alle Idioten
+ich werde dich töten
+eres un hijo de puta
+vete a la mierda
+los inmigrantes son escoria
+te voy a romper la cara
+ferme ta gueule
+sale pute
+tu es une ordure
+les arabes sont des rats
+je vais te casser la gueule
+k1ll y0urself
+f.u.c.k y.o.u
+you m0r0n
+stfu you clown
+die, scum
+drop dead
+""".strip().splitlines()
+HARMLESS += """
+the idiot box was on all evening
+she wrote a book called The Idiot
+my cat killed a mouse
+we shot the scene twice
+kill two birds with one stone
+the movie bombed
+this song slaps
+I beat my personal record
+they crushed the competition
+he was hanged in 1820
+the colony was exterminated by disease in the novel
+trash can lids were stolen
+the rat ran under the sofa
+dirty dishes everywhere
+you look stunning
+you are my sunshine
+you were right about the pig farm
+what a beautiful day you are having
+shut the door please
+nobody knows you better
+go die-cast toys are great
+I hope you feel better
+I hope you get the job
+I will find the book for you
+I'm going to kill it tonight on stage
+we will destroy the old shed
+all lions are predators
+those apples are rotten
+the plague killed many people
+keep those boxes away from our stairs
+never trust a skinny chef
+go back to sleep
+send me the report
+show me the way
+want to see my garden?
+naked singularity theory
+free samples
+hot pics of lava
+du bist mein bester Freund
+ich werde dich besuchen
+eres muy amable
+te voy a ayudar
+tu es très gentil
+je vais te chercher
+the kids are little monsters at bedtime
+he calls himself an idiot
+don't be stupid about money
+that was a stupid mistake of mine
+women are paid less
+immigrants should be welcomed
+refugees are people
+muslims are celebrating today
+foreigners were happy
+he got fired, what a loss
+my boss is a jerk seasoning fan
+dead people tell no tales
+the bitch had five puppies
+cock-a-doodle-doo
+pussycat dolls concert
+sex is determined by chromosomes
+""".strip().splitlines()
