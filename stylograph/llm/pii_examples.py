@@ -75,11 +75,12 @@ NAMES = [
     "(lunch|dinner|coffee|a walk|a call) with {NAME} (was|is) {a}", "(I|we) (met|saw|visited|asked|thanked|paid|trust) {NAME}( at the {n}| yesterday| again|)", "{NAME} (wrote|said|sent|sold|has|owns|brought|knows|fixed|wants) (the|this|a|me a) {n}", "(ask|tell|call|email|thank|see) {NAME}( about the {n}| first|)", "(my|our|her|his) (boss|friend|doctor|neighbour|uncle|teacher|agent|plumber) {NAME}( is {a}| never {v}s|)",
     "(signed|yours|best|regards|cheers|love|sincerely), {NAME}", "{NAME}'s {n} (was|is) {a}", "(thanks|thank you) to (Dr. |Mr |Mrs. |Prof. |){NAME}( for the {n}|)", "(by|photo by|photo:|text:|from|cc|via|feat.|—|with) {NAME}", "(Mr|Mrs|Ms|Dr|Prof|Mr.|Mrs.|Dr.) {NAME} (called|agreed|is out)", "{NAME} and {NAME} (won|left|agreed)", "(happy birthday|welcome|goodbye|congrats), {NAME}", "{NAME}", "{NAME} (is|was) {a}", "the late {NAME} had a {n}",
     "{BABBLE} {NAME} {BABBLE}", "{BABBLE} {NAME}", "{NAME} {BABBLE}", "{BABBLE}, {NAME}, {BABBLE}", "{BABBLE} {NAME}'s {u}", "(my|our|her) {u} {NAME} {BABBLE}", "{BABBLE} (Dr.|Mr|Mrs|Ms|Prof.) {NAME} {BABBLE}",
-    "(contact|name|attn|author|tenant|patient)(:| is|) {NAME}", "(is|was) {NAME} {a}", "between {NAME} and the {n}", "{NAME}, {NAME} and {g}", "the {n} of {NAME}", "(heard|read|got) (it|that) from {NAME}", "{NAME}: the {n} is {a}", "(owes|gave|lent) {NAME} a {n}", "{NAME} (owes|gave|lent|owed) me a {n}",
+    "(contact|name|attn|author|tenant|patient)(:| is|) {NAME}", "(is|was) {NAME} {a}", "between {NAME} and the {n}",     "(I|we|they) (owe|gave|sent|lent|miss|know|thanked|invited) {NAME} {BABBLE}", "(hi|hello|hey), (this is|it's|I'm|I am|my name is) {NAME}( {BABBLE}|)", "(Captain|Professor|Judge|Aunt|Uncle|Sister|Father|Coach|President|Queen) {NAME} {BABBLE}", "(tickets|flowers|room|parcel|table) for {NAME}( {BABBLE}|)", "(minutes|drawn|taken|written|edited) (by|by:) {NAME}",
+    "(the|a) {u} (of|for|by|about|to|from|with) {NAME} {BABBLE}", "{BABBLE} and {NAME}", "our {u}, {NAME}, {BABBLE}", "{NAME}, {NAME} and {g}", "the {n} of {NAME}", "(heard|read|got) (it|that) from {NAME}", "{NAME}: the {n} is {a}", "(owes|gave|lent) {NAME} a {n}", "{NAME} (owes|gave|lent|owed) me a {n}",
 ]
 EMAILS = [
     "(write|mail|send it|reply|forward it|post) (to|at|) {E}", "(reach|contact|find|ask|message) (me|us|them) (at|on|via|under) {E}( please| today|)", "(my|our|the|her) (address|e-mail|email|mail|contact) (is|:|=) {E}", "(e-mail|email|mail|contact|to|from|cc|bcc)(:|: | ){E}", "mailto:{E}", "\\({E}\\)", "{E}", "(just|I) sent (it|the {n}) to {E}( and got no reply|)", "(use|try) {E} (instead|for the {n})", "{E}, {E}", "(or|and) {E}", "<{E}>", "(write|mail) to <{E}>", "questions? {E}",
-    "{BABBLE} {E} {BABBLE}", "{BABBLE} {E}", "{BABBLE} \\({E}\\)", "{E} {BABBLE}",
+    "{E} (and|or|,) {E}( {BABBLE}|)", "(cc|to|from): {E} and {E}", "{BABBLE} {E} {BABBLE}", "{BABBLE} {E}", "{BABBLE} \\({E}\\)", "{E} {BABBLE}",
     "{E} (bounced|is full|works|is mine)", "[{E}]", "{E} / {E}", "\"{E}\"",
 ]
 PHONES = [
@@ -95,7 +96,7 @@ IDS = [
 ]
 PLACED = [
     "(I|we|they) (live|lived|stay|moved|work) (at|to|near) {H}( now| since {d4}|)", "(party|dinner|meeting|drinks) at {H}( from eight| tonight|)", "(drop|leave|send|bring|post|ship|deliver) (it|this|the {n}) (off |)(at|to) {H}( please|, side door|)", "(meet|wait|park) (me |us |)(outside|at|near|by) {H}", "(my|our|the) (address|place|flat|home|office) (is|:|=) {H}", "(address|deliver to|ship to|home|post to)(:|) {H}",
-    "{BABBLE} {H} {BABBLE}", "{BABBLE} (at|to|outside|near|from) {H}", "(live|party|meet|moved|deliver) (at|to|outside) {H} {BABBLE}", "{H} {BABBLE}",
+    "{BABBLE} {H} {BABBLE}", "{BABBLE} (at|to|outside|near|from) {H}", "(live|party|meet|moved|deliver) (at|to|outside) {H} {BABBLE}", "{H} {BABBLE}", "{H} (is|was|has|lies) {BABBLE}",
     "parcel for {H}", "come to {H}( tonight| at {d2}|)", "{H}", "{H}, {p}", "{H} (is|was) {a}", "(found|lost) a {n} at {H}", "from {H} to {H}", "(return|write) to {H}", "the {n} at {H}", "ring the bell at {H}",
 ]
 #: The same phrases about something else.
@@ -152,7 +153,7 @@ class Maker:
         t = r.choice([".", "-", " "])
         forms = [
             lambda: f"+44{s}7{d(3)}{s}{d(3)}{s}{d(3)}", lambda: f"0044{s}7{d(3)}{s}{d(3)}{s}{d(3)}", lambda: f"07{d(3)}{r.choice([' ', ''])}{d(6)}", lambda: f"+44 (0){d(2)} {d(4)} {d(4)}", lambda: f"02{d(1)} {d(4)} {d(4)}", lambda: f"+49 {d(2)} {d(5)}{r.choice(['', ' '])}{d(3)}", lambda: f"0{d(2)} {d(5)} {d(3)}",
-            lambda: f"0{d(3)}/{d(7)}", lambda: f"+33{r.choice(['.', ' '])}{d(1)}{t}{d(2)}{t}{d(2)}{t}{d(2)}{t}{d(2)}", lambda: f"0{d(1)}{t}{d(2)}{t}{d(2)}{t}{d(2)}{t}{d(2)}", lambda: f"({d(3)}) {d(3)}{t}{d(4)}", lambda: f"{d(3)}{t}{d(3)}{t}{d(4)}", lambda: f"1{t}{d(3)}{t}{d(3)}{t}{d(4)}", lambda: f"+1{s}{d(3)}{s}{d(3)}{s}{d(4)}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}",
+            lambda: f"0{d(3)}/{d(7)}", lambda: f"(0{d(2)}) {d(r.choice([6, 7, 8]))}", lambda: f"(0{d(3)}) {d(3)} {d(r.choice([3, 4]))}", lambda: f"0{d(1)}-{d(8)}", lambda: f"+33{r.choice(['.', ' '])}{d(1)}{t}{d(2)}{t}{d(2)}{t}{d(2)}{t}{d(2)}", lambda: f"0{d(1)}{t}{d(2)}{t}{d(2)}{t}{d(2)}{t}{d(2)}", lambda: f"({d(3)}) {d(3)}{t}{d(4)}", lambda: f"{d(3)}{t}{d(3)}{t}{d(4)}", lambda: f"1{t}{d(3)}{t}{d(3)}{t}{d(4)}", lambda: f"+1{s}{d(3)}{s}{d(3)}{s}{d(4)}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}",
             lambda: f"+1{d(10)}", lambda: f"+{r.choice(['49', '44', '33', '34', '39', '91', '61'])}{d(r.choice([9, 10, 11]))}", lambda: d(10), lambda: f"07{d(3)} {d(6)}", lambda: f"+34 {d(3)} {d(2)} {d(2)} {d(2)}", lambda: f"+34 {d(3)} {d(3)} {d(3)}", lambda: f"0{d(10)}", lambda: f"+{r.choice(['91', '81', '234', '61', '27', '353', '351', '48', '7'])}{s}{d(r.choice([2, 3]))}{s}{d(3)}{s}{d(4)}", lambda: f"+39 0{d(1)} {d(8)}", lambda: f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}",
         ]
         text = r.choice(forms)()
@@ -176,13 +177,13 @@ class Maker:
         street = f"{n} {r.choice(['', '', '', '', 'Old ', 'Upper ', 'New ', 'North ', 'W. '])}{proper} {r.choice(WAYS)}"
         tag = f"{r.choice(['Flat', 'Apt', 'Apt.', 'Unit', 'Suite', 'Apartment'])} {r.randint(1, 40)}{r.choice(['', '', 'B'])}"
         noun = r.choice(["Naranjo", "Olmo", "Fuente", "Molino", "Rosales", "Mayor", "de Alcalá", "del Carmen", "Libertad"])
-        tree = r.choice(["Tilleuls", "Forges", "Lilas", "Peupliers", "Moulins", "Roses", "Paix", "Gare", "Victor Hugo", "Écoles"])
+        tree = r.choice(["Tilleuls", "Forges", "Lilas", "Peupliers", "Moulins", "Roses", "Paix", "Gare", "Victor Hugo", "Écoles", "Saint-Michel", "Jean-Jaurès", "Sainte-Anne", f"Saint-{r.choice(self.given)}"])
         link = r.choice(["des", "de la", "du", "de l'", "des"])
         stem = r.choice(["Mühlen", "Linden", "Garten", "Berg", "Schul", "Kirch", "Rosen", "Haupt", "Bahnhof", "Goethe"])
         end = r.choice(["straße", "gasse", "weg", "allee", "platz", "strasse", "str."])
         kind = r.choice(["rue", "avenue", "impasse", "boulevard", "chemin", "place", "Rue", "Avenue"])
         box = f"{r.choice(['PO Box', 'P.O. Box', 'P. O. Box', 'Postfach', 'Apartado', 'BP', 'Box', 'Casella Postale'])} {d(r.choice([3, 4, 5]))}"
-        forms = [street] * 6 + [f"{street}, {tag}"] * 3 + [f"{tag}, {street}"] * 2 + [f"{street} #{r.randint(1, 40)}"] * 2 + [f"{street} {tag}", f"{n} {kind} {link} {tree}", f"{n}, {kind} {link} {tree}", f"{kind} {link} {tree} {n}", f"{n} {kind} des {tree}"]
+        forms = [street] * 6 + [f"{street}, {tag}"] * 3 + [f"{tag}, {street}"] * 2 + [f"{street} #{r.randint(1, 40)}"] * 2 + [f"{street} {tag}", f"{n} {kind} {link} {tree}", f"{n}, {kind} {link} {tree}", f"{kind} {link} {tree} {n}", f"{n} {kind} des {tree}", f"{n} {kind} {tree}", f"{n} {kind} Saint-{r.choice(self.given)}"]
         forms += [f"{r.choice(['Calle', 'Avenida', 'Plaza', 'Paseo', 'C/'])} {noun}{r.choice([' ', ', '])}{n}"] * 2 + [f"{stem}{end} {n}"] * 3 + [f"{r.choice(['Via', 'Viale', 'Piazza', 'ul.', 'Rua', 'Calle'])} {r.choice([*STREETS, 'Roma', 'Garibaldi', 'Dante', 'Nowa', 'das Flores'])} {n}", box, box]
         text = r.choice(forms)
         return r.choices([text, text.lower(), text.upper()], [12, 1, 0.7])[0]

@@ -67,3 +67,45 @@ CASES = [
     ("call Ottoline Vandersteen on 555-867-5309 or ottoline@vandersteen.dev", [("name", "Ottoline Vandersteen"), ("phone", "555-867-5309"), ("email", "ottoline@vandersteen.dev")]),
     ("Cornelius Abernathy, 9 Juniper Hollow Road, 0131 496 0550", [("name", "Cornelius Abernathy"), ("address", "9 Juniper Hollow Road"), ("phone", "0131 496 0550")]),
 ]
+
+#: A second set, written when the first had been looked at.
+CASES += [
+    ('I owe Marguerite Delacroix a postcard.', [('name', 'Marguerite Delacroix')]),
+    ('the eulogy for Harold Pennington was short', [('name', 'Harold Pennington')]),
+    ('Minutes taken by: Soledad Iturralde', [('name', 'Soledad Iturralde')]),
+    ('Captain Elspeth MacAllister retired in May', [('name', 'Elspeth MacAllister')]),
+    ('Hi, this is Desmond Achebe from the library', [('name', 'Desmond Achebe')]),
+    ('Regards\nPhilippa Throckmorton', [('name', 'Philippa Throckmorton')]),
+    ('Our tutor, Ignatius B. Fairweather, is ill', [('name', 'Ignatius B. Fairweather')]),
+    ('tickets for Valentina Kozlova please', [('name', 'Valentina Kozlova')]),
+    ('dear mr okonkwo', []),
+    ("you'll find me at bramble.fox@gmail.com", [('email', 'bramble.fox@gmail.com')]),
+    ('unsubscribe via no-reply@newsletter.shop.io', [('email', 'no-reply@newsletter.shop.io')]),
+    ('cc: theo_92@yahoo.co.in and ops@infra.net', [('email', 'theo_92@yahoo.co.in'), ('email', 'ops@infra.net')]),
+    ('mail lotte(at)web(dot)de', [('email', 'lotte(at)web(dot)de')]),
+    ('my cell is 415-555-2671', [('phone', '415-555-2671')]),
+    ('dial 0800 123 4567 for the helpline', [('phone', '0800 123 4567')]),
+    ('bel me op 06-12345678', [('phone', '06-12345678')]),
+    ('sms to +254 712 345678', [('phone', '+254 712 345678')]),
+    ('Telefon (030) 901820', [('phone', '(030) 901820')]),
+    ('office 212.555.0188 x12', [('phone', '212.555.0188 x12')]),
+    ('SSN on file: 078-05-1120', [('id_number', '078-05-1120')]),
+    ('passport number 533401234', [('id_number', '533401234')]),
+    ('IBAN: GB29NWBK60161331926819', [('id_number', 'GB29NWBK60161331926819')]),
+    ('NIE X1234567L caducado', [('id_number', 'X1234567L')]),
+    ('her national insurance number is JG103759A', [('id_number', 'JG103759A')]),
+    ('we rent a room at 221B Baker Street', [('address', '221B Baker Street')]),
+    ('Lieferung an Hauptstr. 5 bitte', [('address', 'Hauptstr. 5')]),
+    ("dinner's at 18 Rue Saint-Denis", [('address', '18 Rue Saint-Denis')]),
+    ('my new place: 3500 Deer Creek Rd, Unit 4', [('address', '3500 Deer Creek Rd, Unit 4')]),
+    ('write to PO Box 42', [('address', 'PO Box 42')]),
+    ('Via Garibaldi 7 is around the corner', [('address', 'Via Garibaldi 7')]),
+    ('Apollo 11 landed in 1969.', []),
+    ('Call of Duty sold 30 million copies', []),
+    ('Windows 11 build 22621.1702', []),
+    ('The Great Gatsby is due on Monday', []),
+    ('population 8,336,817 in 2020', []),
+    ('Lake Placid hosted in 1932 and 1980', []),
+    ('It cost 45.99 at 7:30 pm', []),
+    ('GitHub issue 10432 is closed', []),
+]
