@@ -138,7 +138,7 @@ class Maker:
         r = self.r
         g, f = (_plain(r.choice(x)) for x in (self.given, self.family))
         word = r.choice(NOUNS)
-        local = r.choice([f"{g}.{f}", f"{g}_{f}{self.digits(2)}", f"{g}-{self.digits(4)}", f"{f}+{word}", f"{g}{f}", f"{g[0]}{f}", f"{r.choice(ADJECTIVES)}.{word}{self.digits(3)}", f, f"{g}.{f}+{word}", f"{g}{self.digits(2)}", f"{g[0]}.{f}", g, f"{g}{r.choice(NOUNS)}", "info", "office", f"{word}{self.digits(1)}", f"{g}.{r.choice('abcdel')}.{f}"])
+        local = r.choice([f"{g}.{f}", f"{g}_{f}{self.digits(2)}", f"{g}-{self.digits(4)}", f"{f}+{word}", f"{g}{f}", f"{g[0]}{f}", f"{r.choice(ADJECTIVES)}.{word}{self.digits(3)}", f, f"{g}.{f}+{word}", f"{g}{self.digits(2)}", f"{g[0]}.{f}", g, g, f"{g}{r.choice(NOUNS)}", f"{word}-{r.choice(NOUNS)}", f"{r.choice(['no', 'do-not', 'team', 'help', 'e'])}-{r.choice(['reply', word])}", "info", "office", f"{word}{self.digits(1)}", f"{g}.{r.choice('abcdel')}.{f}"])
         host = [*([r.choice(["mail", "inbox", "corp", "post", "staff", "lists"])] if r.random() < 0.4 else []), self.brand().lower() + r.choice(["", "", "", f"-{r.choice(WEBS)}"]), *r.choice(TLDS).split(".")]
         at, dot = "@", "."
         if r.random() < 0.28:
