@@ -140,3 +140,16 @@ def test_sketches_bound_the_overlap():
         bits = N.sketches(np.concatenate([a, b]), np.array([size, 2 * size]))
         n, common = np.bitwise_count(bits).sum(1), int(np.bitwise_count(bits[0] & bits[1]).sum())
         assert common <= 255 and common + min(size - n) >= size - size // 2
+
+
+def test_large_bands_drop_nothing(spark):
+    """Short posts in longer ones: few signature values agree, and all bands are larger than is compared all against all."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        base = r.sample(vocabulary, 30)
+        rows.append((2 * i, " ".join(base)))
+        rows.append((2 * i + 1, " ".join([*r.sample(base, 8), *r.sample(vocabulary, 3)])))
+    got = [tuple(r) for r in N.NearDuplicates(frame(spark, rows), most_in_band=4, most_in_task=50).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
