@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stylograph.llm import neardup as N
@@ -153,3 +155,23 @@ def test_large_bands_drop_nothing(spark):
         rows.append((2 * i + 1, " ".join([*r.sample(base, 8), *r.sample(vocabulary, 3)])))
     got = [tuple(r) for r in N.NearDuplicates(frame(spark, rows), most_in_band=4, most_in_task=50).pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+@pytest.mark.parametrize("most", [100_000, 700])
+def test_a_family_leaves_its_task_in_batches(most):
+    """The pairs of a family go as the square of its members, so a task must not hold them together."""
+    rng, n = np.random.default_rng(1), 2500
+    base = rng.permutation(30_000)[:20]
+    codes = [[*rng.permutation(base)[:17], *rng.integers(-30_000, 0, 3)] for _ in range(n)]
+    none = pa.array(np.zeros(n, np.int32))
+    rows = pa.RecordBatch.from_arrays([none, none, pa.array(np.arange(n)), pa.array(codes, pa.list_(pa.int16()))], names=["task", "block", "rep", "codes"])
+    found = 0
+    tracemalloc.start()
+    try:
+        for batch in N._exact(0.7, most, 1)(iter([rows])):
+            assert batch.num_rows <= 100_000
+            found += batch.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == n * (n - 1) // 2 and peak < 100e6
